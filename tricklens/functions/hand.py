@@ -17,7 +17,6 @@ from __future__ import annotations
 from tricklens.functions.tokens import (
     count_token,
     count_token_expr,
-    count_tokens,
     digit_from_end,
     flag,
     groups_over,
@@ -45,11 +44,28 @@ def rank_counts(cards: str) -> dict[str, str]:
     return {f"n{rank}": count_token(cards, rank) for rank in FIGURE_RANKS}
 
 
+def figure_suits(cards: str) -> str:
+    """Suit word of every figure token ``1[1-4]_of_<suit>`` in the hand, in order (array).
+
+    One regular-expression pass finds exactly the occurrences that sixteen
+    literal counts would: the sixteen tokens are plain words and no two
+    occurrences can share a character, so a left-to-right scan for their
+    alternation misses none and counts none twice.
+    """
+    suits = "|".join(SUITS)
+    ranks = "".join(r[-1] for r in FIGURE_RANKS)
+    return f"regexp_extract_all({cards}, '1[{ranks}]_of_({suits})', 1)"
+
+
+def figures_of_suit(figure_suits_col: str, suit: str) -> str:
+    """Figures of one suit from the ``figure_suits`` array (null when the hand is null)."""
+    return f"(array_size({figure_suits_col}) - array_size(array_remove({figure_suits_col}, '{suit}')))"
+
+
 def suit_counts(cards: str, tarnib: str) -> dict[str, str]:
-    """Per suit: figures (``fig_<suit>``) and cards (``len_<suit>``); trumps held; odd-trump figures."""
-    counts: dict[str, str] = {}
+    """Figure suits (``figure_suits``), cards per suit (``len_<suit>``), trumps held, odd-trump figures."""
+    counts: dict[str, str] = {"figure_suits": figure_suits(cards)}
     for suit in SUITS:
-        counts[f"fig_{suit}"] = count_tokens(cards, [f"{rank}_of_{suit}" for rank in FIGURE_RANKS])
         counts[f"len_{suit}"] = count_token(cards, f"of_{suit}")
     counts["trumps"] = count_token_expr(cards, tarnib)
     suit = pattern_suit(tarnib)
@@ -81,8 +97,9 @@ def seat_metrics(
 ) -> dict[str, str]:
     """The twelve per-seat features over base counts ``c`` (default: columns named as the counts)."""
     if c is None:
-        names = [f"n{r}" for r in FIGURE_RANKS] + [f"fig_{s}" for s in SUITS] + [f"len_{s}" for s in SUITS]
-        c = {k: k for k in names + ["trumps", "trump_figures_other"]}
+        names = [f"n{r}" for r in FIGURE_RANKS] + [f"len_{s}" for s in SUITS]
+        c = {k: k for k in names + ["figure_suits", "trumps", "trump_figures_other"]}
+    c = {**c, **{f"fig_{s}": figures_of_suit(c["figure_suits"], s) for s in SUITS}}
     fig = figures(c)
     suit = pattern_suit(tarnib)
     trump_figures = (

@@ -24,8 +24,8 @@ BIDS_PREFIX = '{"bids":[-1,7,-1,-1],"current_bidder":'
 
 
 def _suit_expr(index_sql: str) -> str:
-    branches = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUITS))
-    return f"CASE {index_sql} {branches} END"
+    suits = ", ".join(f"'{s}'" for s in SUITS)
+    return f"element_at(array({suits}), CAST({index_sql} AS INT) + 1)"
 
 
 def _card_sql(key: str, seat: int, slot: int) -> str:
