@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tricklens.model import Roster, Rules
 from tricklens.plans.summary import summarize
+from tricklens.session import JIT_METHOD_LIMIT
 from tricklens.sources.rounds import read_rounds
 
 
@@ -68,6 +69,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--preview", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("round-summary").getOrCreate()
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
     run(
         spark,
         args.input,
