@@ -211,3 +211,30 @@ def test_partials_keep_round_count_with_duplicates(spark):
     recs = [rnd(1, ["ann", "ann", "ann", "ann"]), rnd(2, ["bo", "cy", "di", "ann"])]
     s = career_summary(person_partials(first_seat_only(seat_table(frame(spark, recs), ROSTER))), ROSTER)
     assert s.first()["total_rounds_played"] == 2
+
+
+def test_inferred_schema_gives_same_summary(spark, tmp_path):
+    path = str(tmp_path / "rounds.jsonl")
+    _write_jsonl(path, extra_nested=False)
+    declared = summarize(read_rounds(spark, path), ROSTER).first().asDict()
+    inferred = summarize(read_rounds(spark, path, infer_schema=True), ROSTER).first().asDict()
+    assert declared == inferred
+
+
+def test_preview_reads_written_row(spark, tmp_path, capsys):
+    src = str(tmp_path / "rounds.jsonl")
+    _write_jsonl(src, extra_nested=False)
+    run(spark, src, str(tmp_path / "out"), ROSTER, preview=True)
+    assert "total_rounds_played" in capsys.readouterr().out
+
+
+def test_command_line(spark, tmp_path):
+    from tricklens.plans.job import main
+
+    src = str(tmp_path / "rounds.jsonl")
+    _write_jsonl(src, extra_nested=False)
+    out = str(tmp_path / "cli")
+    roster = json.dumps({p: list(a) for p, a in ROSTER.people})
+    main(["--input", src, "--output", out, "--roster", roster, "--topology", "corrected"])
+    row = spark.read.json(out).first().asDict()
+    assert row["total_rounds_played"] == 2

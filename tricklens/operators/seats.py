@@ -6,30 +6,65 @@ Three narrow projections, no shuffle:
    counts of all four hands (needed across seats for the team count);
 2. ``inline`` into four seat rows, each carrying its hand text, its rank
    counts and its partner's figure count (no second scan of the partner's hand);
-3. per seat row: suit counts and trumps, then the twelve features.
+3. per seat row: suit counts and trumps, then the features.
 
-Each hand is scanned once per token class, and every projection stays small
-enough for whole-stage codegen.
+Each hand is scanned once per token class. Catalyst cannot prune fields of
+the structs built for ``inline``, so the table is built for the requested
+metrics only: a metric of the bid alone never touches the hands.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from tricklens.functions.hand import figures, rank_counts, seat_metrics, suit_counts, trump_picker
-from tricklens.model import FIGURE_RANKS, HAND_PARTNER, METRICS, SEATS, Roster, Rules, cards_col, player_col
+from tricklens.model import FIGURE_RANKS, HAND_PARTNER, METRICS, SEATS, SUITS, Roster, Rules, cards_col, player_col
 from tricklens.operators.attribution import is_first_seat, person_of
 
 RANKS = [f"n{r}" for r in FIGURE_RANKS]
 
+# Base inputs of each metric: rank counts of the own hand, the partner's
+# figures, the figure suits, the suit lengths, trumps held, the picker.
+METRIC_INPUTS = {
+    "figures_count": {"ranks"},
+    "figures_score": {"ranks"},
+    "tarnib_figures_count": {"figure_suits", "trump_figures_other"},
+    "team_figures_count": {"ranks", "partner_figures"},
+    "rounds_with_less_than_two_figures": {"ranks"},
+    "over_two_aces_count": {"ranks"},
+    "suits_over_five_cards": {"lengths"},
+    "suits_with_over_one_figures": {"figure_suits"},
+    "has_partner_picked_tarnib_count": {"picker"},
+    "has_enemy_picked_tarnib_count": {"picker"},
+    "over_3_partner_tarnib_count": {"picker", "trumps"},
+    "over_3_enemy_tarnib_count": {"picker", "trumps"},
+}
+_SUIT_INPUTS = {
+    "figure_suits": ["figure_suits"],
+    "lengths": [f"len_{s}" for s in SUITS],
+    "trumps": ["trumps"],
+    "trump_figures_other": ["trump_figures_other"],
+}
+
 
-def seat_table(rounds: DataFrame, roster: Roster | None, rules: Rules = Rules()) -> DataFrame:
-    """Long seat table: ``round_id, seat, player, person, is_first_seat`` and the twelve metrics.
+def seat_table(
+    rounds: DataFrame,
+    roster: Roster | None,
+    rules: Rules = Rules(),
+    metrics: Sequence[str] = METRICS,
+) -> DataFrame:
+    """Long seat table: ``round_id, seat, player, person, is_first_seat`` and the requested metrics.
 
     ``person`` is the roster person of the seat's player (null if none, or
     when no roster is given); ``is_first_seat`` is true on the lowest seat a
     person holds in the round.
     """
+    need = set().union(*(METRIC_INPUTS[m] for m in metrics))
+    with_ranks = bool(need & {"ranks", "partner_figures"})
+    suit_inputs = [c for key, cols in _SUIT_INPUTS.items() if key in need for c in cols]
+
     round_id = "round_id" if "round_id" in rounds.columns else "CAST(NULL AS BIGINT)"
     persons = [f"_person_{s}" for s in SEATS]
     per_round = [f"{round_id} AS round_id", "tarnib", f"{trump_picker('bids_data')} AS _picker"]
@@ -37,8 +72,10 @@ def seat_table(rounds: DataFrame, roster: Roster | None, rules: Rules = Rules())
         person = person_of(player_col(seat), roster) if roster else "CAST(NULL AS STRING)"
         per_round.append(f"{player_col(seat)} AS _player_{seat}")
         per_round.append(f"{person} AS _person_{seat}")
-        per_round.append(f"{cards_col(seat)} AS _cards_{seat}")
-        per_round += [f"{expr} AS _{name}_{seat}" for name, expr in rank_counts(cards_col(seat)).items()]
+        if suit_inputs:
+            per_round.append(f"{cards_col(seat)} AS _cards_{seat}")
+        if with_ranks:
+            per_round += [f"{expr} AS _{name}_{seat}" for name, expr in rank_counts(cards_col(seat)).items()]
     wide = rounds.selectExpr(*per_round)
 
     structs = []
@@ -49,25 +86,28 @@ def seat_table(rounds: DataFrame, roster: Roster | None, rules: Rules = Rules())
             f"'player', _player_{seat}",
             f"'person', _person_{seat}",
             f"'is_first_seat', {is_first_seat(persons, seat)}",
-            f"'cards', _cards_{seat}",
-            *[f"'{n}', _{n}_{seat}" for n in RANKS],
-            f"'partner_figures', {figures({n: f'_{n}_{partner}' for n in RANKS})}",
         ]
+        if suit_inputs:
+            fields.append(f"'cards', _cards_{seat}")
+        if with_ranks:
+            fields += [f"'{n}', _{n}_{seat}" for n in RANKS]
+            fields.append(f"'partner_figures', {figures({n: f'_{n}_{partner}' for n in RANKS})}")
         structs.append(f"named_struct({', '.join(fields)})")
     seats = wide.selectExpr("round_id", "tarnib", "_picker", f"inline(array({', '.join(structs)}))")
 
-    counted = seats.selectExpr(
-        "round_id", "seat", "player", "person", "is_first_seat", "tarnib", "_picker", "partner_figures", *RANKS,
-        *[f"{expr} AS {name}" for name, expr in suit_counts("cards", "tarnib").items()],
-    )
-    metrics = seat_metrics("seat", "_picker", "tarnib", "partner_figures", rules)
+    carried = ["round_id", "seat", "player", "person", "is_first_seat", "tarnib", "_picker"]
+    if with_ranks:
+        carried += ["partner_figures", *RANKS]
+    counts = suit_counts("cards", "tarnib")
+    counted = seats.selectExpr(*carried, *[f"{counts[name]} AS {name}" for name in suit_inputs])
+    exprs = seat_metrics("seat", "_picker", "tarnib", "partner_figures", rules)
     return counted.selectExpr(
         "round_id",
         "seat",
         "player",
         "person",
         "is_first_seat",
-        *[f"CAST({metrics[m]} AS BIGINT) AS {m}" for m in METRICS],
+        *[f"CAST({exprs[m]} AS BIGINT) AS {m}" for m in metrics],
     )
 
 

@@ -73,7 +73,7 @@ def q_seat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _metric_query(metric: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Every seat of every derived round, before any filter.
-        return seat_table(rounds(spark, sf_dir), None, RULES).select("round_id", "seat", metric)
+        return seat_table(rounds(spark, sf_dir), None, RULES, [metric]).select("round_id", "seat", metric)
 
     run.__name__ = f"q_m_{metric}"
     return run
