@@ -186,3 +186,10 @@ def test_overlapping_tokens_fall_back_to_sums():
     # 'aa' overlaps itself and 'ab' shares characters with 'ba': no single regex pass
     assert "regexp_count" not in count_tokens("t", ["ab", "ba"])
     assert "regexp_count" in count_tokens("t", [f"1{r}_of_spades" for r in "1234"])
+
+
+def test_trump_text_is_matched_literally(spark):
+    # a trump text with regex metacharacters is a literal word here (documented difference)
+    cards = '["2_of_spades","3_of_spades","4_of_spades","5_of_spades"]'
+    assert metrics(spark, cards, tarnib="sp.des", bid=bids(2), seat=1)["over_3_partner_tarnib_count"] == 0
+    assert metrics(spark, cards + "sp.des" * 4, tarnib="sp.des", bid=bids(2), seat=1)["over_3_partner_tarnib_count"] == 1
