@@ -15,6 +15,7 @@ serves all four seats of the long seat table.
 from __future__ import annotations
 
 from tricklens.functions.tokens import (
+    alternation,
     count_token,
     count_token_expr,
     digit_from_end,
@@ -52,9 +53,8 @@ def figure_suits(cards: str) -> str:
     occurrences can share a character, so a left-to-right scan for their
     alternation misses none and counts none twice.
     """
-    suits = "|".join(SUITS)
-    ranks = "".join(r[-1] for r in FIGURE_RANKS)
-    return f"regexp_extract_all({cards}, '1[{ranks}]_of_({suits})', 1)"
+    ranks = alternation(list(FIGURE_RANKS))
+    return f"regexp_extract_all({cards}, '(?:{ranks})_of_({'|'.join(SUITS)})', 1)"
 
 
 def figures_of_suit(figure_suits_col: str, suit: str) -> str:

@@ -2,8 +2,8 @@
 
 Every builder returns SQL expression text over column names or other SQL
 expressions, so a whole stage is handed to Spark in one ``selectExpr`` (one
-call into the JVM, parsed there) and runs inside whole-stage codegen. The
-``*_col`` helpers wrap the same text as a ``Column``.
+call into the JVM, parsed there) and runs as generated JVM code. ``col``
+wraps the same text as a ``Column``.
 
 Counting is by text, never by parsing: a token is counted wherever it
 occurs, left to right, without overlaps, which is what a regular-expression
@@ -71,11 +71,11 @@ def count_tokens(text: str, tokens: Iterable[str]) -> str:
         return count_token(text, tokens[0])
     disjoint = all(not _overlap(a, b) for i, a in enumerate(tokens) for b in tokens[i:])
     if disjoint and all(_PLAIN.match(t) for t in tokens):
-        return f"regexp_count({text}, {sql_string(_alternation(tokens))})"
+        return f"regexp_count({text}, {sql_string(alternation(tokens))})"
     return "(" + " + ".join(count_token(text, t) for t in tokens) + ")"
 
 
-def _alternation(tokens: Sequence[str]) -> str:
+def alternation(tokens: Sequence[str]) -> str:
     """Regex for "any of tokens"; equal-length tokens differing in one place use a class (1[1234]_of_x)."""
     if len({len(t) for t in tokens}) == 1:
         diff = [i for i in range(len(tokens[0])) if len({t[i] for t in tokens}) > 1]
