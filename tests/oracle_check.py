@@ -33,6 +33,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# Spark type name -> DuckDB type name of the same physical type.
+_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
@@ -68,6 +78,10 @@ def compare(spark, sf_dir: str, names: list[str] | None = None) -> list[tuple[st
         problems = []
         if sorted(s_cols) != sorted(d_cols):
             problems.append(f"columns spark={sorted(s_cols)} duck={sorted(d_cols)}")
+        s_types = {c: _TYPES.get(t, t) for c, t in df.dtypes}
+        d_types = {c: _TYPES.get(str(t), str(t)) for c, t in zip(d_cols, rel.dtypes)}
+        if s_types != d_types:
+            problems.append(f"types spark={s_types} duck={d_types}")
         if len(s_rows) != len(d_rows):
             problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
         if not problems and _rows(s_cols, s_rows) != _rows(d_cols, d_rows):
