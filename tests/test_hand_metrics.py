@@ -170,7 +170,7 @@ def test_strict_thresholds(spark):
 
 
 def test_token_counts_match_python(spark):
-    texts = ["aaaa", "abab", "11111", "", None, "x_of_spades of_spades", "thethe The"]
+    texts = ["aaaa", "abab", "11111", "", None, "x_of_spades of_spades", "thethe The", "éthe€the√x", "ü11ü111"]
     tokens = ["aa", "ab", "11", "of_spades", "the", "x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     exprs = [f"{count_token('t', tok)} AS c{i}" for i, tok in enumerate(tokens)]

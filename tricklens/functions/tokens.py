@@ -27,22 +27,27 @@ def sql_string(value: str) -> str:
 
 
 def count_token(text: str, token: str) -> str:
-    """Occurrences of the literal ``token`` in the string expression ``text`` (int).
-
-    ``(length(text) - length(replace(text, token, ''))) div length(token)``:
-    one pass, no regex engine. An empty token matches at every position
-    (``length + 1``), as an empty pattern does. Null text gives null.
+    """Occurrences of the literal ``token`` in the string expression ``text`` (bigint).
+
+    ``(octet_length(text) - octet_length(replace(text, token, ''))) div
+    octet_length(token)``: one search pass, no regex engine. Removing an
+    occurrence removes exactly the token's bytes, so the byte difference is
+    exact for any text, and a string's byte length is known without a scan
+    (its character length is not). An empty token matches at every
+    character position (``length + 1``), as an empty pattern does. Null
+    text gives null.
     """
     if token == "":
         return f"(length({text}) + 1)"
-    return f"((length({text}) - length(replace({text}, {sql_string(token)}, ''))) div {len(token)})"
+    size = len(token.encode("utf-8"))
+    return f"((octet_length({text}) - octet_length(replace({text}, {sql_string(token)}, ''))) div {size})"
 
 
 def count_token_expr(text: str, token: str) -> str:
     """Like ``count_token`` for a token that is itself an SQL expression (e.g. a column)."""
     return (
-        f"(CASE WHEN length({token}) = 0 THEN length({text}) + 1 "
-        f"ELSE (length({text}) - length(replace({text}, {token}, ''))) div length({token}) END)"
+        f"(CASE WHEN octet_length({token}) = 0 THEN length({text}) + 1 "
+        f"ELSE (octet_length({text}) - octet_length(replace({text}, {token}, ''))) div octet_length({token}) END)"
     )
 
 
