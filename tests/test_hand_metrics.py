@@ -193,3 +193,17 @@ def test_trump_text_is_matched_literally(spark):
     cards = '["2_of_spades","3_of_spades","4_of_spades","5_of_spades"]'
     assert metrics(spark, cards, tarnib="sp.des", bid=bids(2), seat=1)["over_3_partner_tarnib_count"] == 0
     assert metrics(spark, cards + "sp.des" * 4, tarnib="sp.des", bid=bids(2), seat=1)["over_3_partner_tarnib_count"] == 1
+
+
+def test_strict_mode_fails_where_the_original_throws(spark):
+    strict = Rules(strict=True)
+    assert metrics(spark, V3, bid=bids(2), rules=strict)["figures_count"] == 8
+    for cards, bid in [(None, bids(2)), (V3, '{"current_bidder":2 }')]:
+        with pytest.raises(Exception, match="kept round"):
+            metrics(spark, cards, bid=bid, rules=strict)
+    # seat 1 picked itself: neither the partner nor the enemy condition holds, so a missing trump is never looked at
+    m = metrics(spark, V3, tarnib=None, bid=bids(0), seat=1, rules=strict)
+    assert m["over_3_partner_tarnib_count"] == 0 and m["over_3_enemy_tarnib_count"] == 0
+    # an enemy (seat 2) picked: the enemy test needs the trump count
+    with pytest.raises(Exception, match="kept round"):
+        metrics(spark, V3, tarnib=None, bid=bids(1), seat=1, rules=strict)

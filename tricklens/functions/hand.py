@@ -110,7 +110,7 @@ def seat_metrics(
     enemy_picked = _seat_case(seat, {s: f"{picker} IN ({', '.join(map(str, e))})" for s, e in ENEMIES.items()})
     many_trumps = f"({c['trumps']} > {rules.trumps_over})"
     score = " + ".join(f"{c[f'n{r}']} * {w}" for r, w in rules.figure_weights.items())
-    return {
+    metrics = {
         "figures_count": fig,
         "figures_score": f"({score})",
         "tarnib_figures_count": trump_figures,
@@ -130,6 +130,31 @@ def seat_metrics(
             f"CASE WHEN {picker} IS NULL THEN NULL WHEN {enemy_picked} THEN {many_trumps} ELSE FALSE END"
         ),
     }
+    if rules.strict:
+        metrics = _strict(metrics, c, picker, partner_figures, partner_picked, enemy_picked)
+    return metrics
+
+
+def _strict(
+    metrics: dict[str, str], c: dict[str, str], picker: str, partner_figures: str, partner_picked: str, enemy_picked: str
+) -> dict[str, str]:
+    """Fail with an error where the original job throws, instead of returning null."""
+    hand = f"{c['n11']} IS NULL"
+    bid = f"{picker} IS NULL"
+    trumps = f"{c['trumps']} IS NULL"
+    checks = {
+        "team_figures_count": [(hand, "missing hand"), (f"{partner_figures} IS NULL", "missing partner hand")],
+        "has_partner_picked_tarnib_count": [(bid, "unreadable bid")],
+        "has_enemy_picked_tarnib_count": [(bid, "unreadable bid")],
+        "over_3_partner_tarnib_count": [(bid, "unreadable bid"), (f"{partner_picked} AND {trumps}", "missing hand or trump")],
+        "over_3_enemy_tarnib_count": [(bid, "unreadable bid"), (f"{enemy_picked} AND {trumps}", "missing hand or trump")],
+    }
+    out = {}
+    for name, expr in metrics.items():
+        conds = checks.get(name, [(hand, "missing hand")])
+        branches = " ".join(f"WHEN {cond} THEN raise_error('{msg} in a kept round')" for cond, msg in conds)
+        out[name] = f"(CASE {branches} ELSE {expr} END)"
+    return out
 
 
 def hand_metrics(

@@ -146,6 +146,9 @@ class Rules:
     trumps_over: int = TRUMPS_OVER
     figures_under: int = FIGURES_UNDER
     topology: str = "original"  # "original" (seat 4 tested against seat 1) or "corrected"
+    # strict: a missing hand, an unreadable bid or a missing trump that a
+    # metric needs fails the job (as the original does) instead of giving null.
+    strict: bool = False
 
     @property
     def pick_partner(self) -> dict[int, int]:

@@ -1,7 +1,7 @@
 """Batch job: read rounds, summarize, write one JSON row.
 
     spark-submit -m tricklens.plans.job --input s3a://.../rounds/ --output s3a://.../summary/ \
-        --roster roster.json [--format json|parquet] [--topology original|corrected] [--preview]
+        --roster roster.json [--format json|parquet] [--topology original|corrected] [--strict] [--preview]
 
 The roster file maps each person to a list of lower-case aliases, e.g.
 ``{"ann": ["ann", "annie"], "bo": ["bo"]}``. The caller's ``spark-submit``
@@ -66,6 +66,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--roster", required=True, help="JSON text or path of a JSON file")
     parser.add_argument("--format", default="json")
     parser.add_argument("--topology", default="original", choices=["original", "corrected"])
+    parser.add_argument("--strict", action="store_true", help="fail on records the metrics cannot read")
     parser.add_argument("--preview", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("round-summary").getOrCreate()
@@ -77,7 +78,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.output,
         load_roster(args.roster),
         fmt=args.format,
-        rules=Rules(topology=args.topology),
+        rules=Rules(topology=args.topology, strict=args.strict),
         preview=args.preview,
     )
 
