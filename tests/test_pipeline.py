@@ -238,3 +238,19 @@ def test_command_line(spark, tmp_path):
     main(["--input", src, "--output", out, "--roster", roster, "--topology", "corrected"])
     row = spark.read.json(out).first().asDict()
     assert row["total_rounds_played"] == 2
+
+
+def test_spread_only_repartitions_small_scans(spark, tmp_path):
+    from tricklens.sources.tables import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one = str(tmp_path / "one")
+    many = str(tmp_path / "many")
+    spark.range(1000).coalesce(1).write.parquet(one)
+    spark.range(1000).repartition(cores).write.parquet(many)
+    small = spread(spark.read.parquet(one), "id")
+    large = spread(spark.read.parquet(many), "id")
+    small_plan = small._jdf.queryExecution().executedPlan().toString()
+    large_plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in small_plan and small.rdd.getNumPartitions() == cores
+    assert "Exchange" not in large_plan
