@@ -254,3 +254,28 @@ def test_spread_only_repartitions_small_scans(spark, tmp_path):
     large_plan = large._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in small_plan and small.rdd.getNumPartitions() == cores
     assert "Exchange" not in large_plan
+
+
+def test_parquet_plan_prunes_pushes_and_combines_map_side(spark, tmp_path):
+    path = str(tmp_path / "rounds.parquet")
+    recs = [rnd(i, ["ann", "bo", "cy", "di"], bid=bids(i % 4)) for i in range(20)]
+    frame(spark, recs).repartition(4).write.parquet(path)
+    s = summarize(read_rounds(spark, path, "parquet"), ROSTER)
+    previous = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        formatted = s._jdf.queryExecution().explainString(mode)
+        plan = s._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", previous)
+    scan = formatted.split("Scan parquet", 2)[2].split("\n\n")[0]
+    read_schema = next(line for line in scan.splitlines() if line.startswith("ReadSchema"))
+    pushed = next(line for line in scan.splitlines() if line.startswith("PushedFilters"))
+    assert "round_id" not in read_schema  # not needed by the summary
+    assert "IsNotNull(team_1_score)" in pushed and "IsNotNull(player_1)" in pushed
+    # partial aggregation happens map side, below the first exchange
+    lines = plan.splitlines()
+    first_exchange = max(i for i, line in enumerate(lines) if "Exchange hashpartitioning(person" in line)
+    assert any("HashAggregate(keys=[person" in line and "partial_" in line for line in lines[first_exchange:])
+    assert s.first()["total_rounds_played"] == 20
