@@ -38,7 +38,7 @@ def person_totals(seats: DataFrame) -> DataFrame:
 
 
 def career_summary(
-    partials: DataFrame, roster: Roster, column_order: Sequence[str] | None = None
+    partials: DataFrame, roster: Roster | Sequence[str], column_order: Sequence[str] | None = None
 ) -> DataFrame:
     """One row: rounds played, then ``<person>_<metric>`` for every roster person.
 
@@ -46,13 +46,15 @@ def career_summary(
     empty input. Input is ``person_partials`` (one row per person), so this is
     a tiny global aggregate.
     """
+    names = roster.names if isinstance(roster, Roster) else tuple(roster)
     cells = [f"coalesce(sum({_SEAT1}), CAST(0 AS BIGINT)) AS {TOTAL_ROUNDS}"]
     for metric in METRICS:
-        for person in roster.names:
+        for person in names:
             cells.append(
                 f"sum(CASE WHEN person = {sql_string(person)} THEN {metric} END) AS `{person}_{metric}`"
             )
-    return partials.selectExpr(*cells).select(*[f"`{c}`" for c in summary_columns(roster, column_order)])
+    order = summary_columns(Roster.of({n: [n] for n in names}), column_order)
+    return partials.selectExpr(*cells).select(*[f"`{c}`" for c in order])
 
 
 def wide_totals(df: DataFrame, key: str, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:

@@ -58,8 +58,9 @@ def seat_table(
     """Long seat table: ``round_id, seat, player, person, is_first_seat`` and the requested metrics.
 
     ``person`` is the roster person of the seat's player (null if none, or
-    when no roster is given); ``is_first_seat`` is true on the lowest seat a
-    person holds in the round.
+    when no roster is given); without a roster, columns ``_person_1`` ..
+    ``_person_4`` of ``rounds`` are used when present (``roster_join``).
+    ``is_first_seat`` is true on the lowest seat a person holds in the round.
     """
     need = set().union(*(METRIC_INPUTS[m] for m in metrics))
     with_ranks = bool(need & {"ranks", "partner_figures"})
@@ -67,9 +68,14 @@ def seat_table(
 
     round_id = "round_id" if "round_id" in rounds.columns else "CAST(NULL AS BIGINT)"
     persons = [f"_person_{s}" for s in SEATS]
+    # persons resolved upstream (operators.roster_join) when no roster object is given
+    resolved = roster is None and all(p in rounds.columns for p in persons)
     per_round = [f"{round_id} AS round_id", "tarnib", f"{trump_picker('bids_data')} AS _picker"]
     for seat in SEATS:
-        person = person_of(player_col(seat), roster) if roster else "CAST(NULL AS STRING)"
+        if resolved:
+            person = f"_person_{seat}"
+        else:
+            person = person_of(player_col(seat), roster) if roster else "CAST(NULL AS STRING)"
         per_round.append(f"{player_col(seat)} AS _player_{seat}")
         per_round.append(f"{person} AS _person_{seat}")
         if suit_inputs:

@@ -21,7 +21,7 @@ from tricklens.operators.attribution import attribution
 from tricklens.operators.filters import all_in, complete_rounds, sum_equals
 from tricklens.operators.seats import first_seat_only, seat_table
 from tricklens.plans.job import write_summary
-from tricklens.plans.summary import kept_rounds, roster_seats
+from tricklens.plans.summary import kept_rounds, roster_seats, totals_by_person_table
 from tricklens.sources.derived import derive_rounds
 from tricklens.sources.rounds import read_rounds, write_rounds
 from tricklens.sources.scratch import fresh_path
@@ -89,6 +89,17 @@ def q_person_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_totals(first_seat_only(q_seat_features(spark, sf_dir)))
 
 
+def roster_table(spark: SparkSession) -> DataFrame:
+    """The roster parameter as an ``alias, person`` table (the join path of large rosters)."""
+    rows = [(alias, person) for person, aliases in ROSTER.people for alias in aliases]
+    return spark.createDataFrame(rows, "alias string, person string")
+
+
+def q_person_totals_roster_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``person_totals`` with seats resolved by a (size-checked, broadcast) join to a roster table."""
+    return totals_by_person_table(rounds(spark, sf_dir), roster_table(spark), RULES)
+
+
 def q_career_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career_summary(person_partials(first_seat_only(q_seat_features(spark, sf_dir))), ROSTER)
 
@@ -162,6 +173,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         {
             "attribution": q_attribution,
             "person_totals": q_person_totals,
+            "person_totals_roster_join": q_person_totals_roster_join,
             "career_summary": q_career_summary,
             "summary_roundtrip": q_summary_roundtrip,
             "x_picker": q_x_picker,

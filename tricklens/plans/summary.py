@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from tricklens.model import Roster, Rules
 from tricklens.operators.aggregates import career_summary, person_partials, person_totals
 from tricklens.operators.filters import complete_rounds, roster_rounds
+from tricklens.operators.roster_join import DEFAULT_BROADCAST_ROWS, roster_table_rounds
 from tricklens.operators.seats import first_seat_only, seat_table
 
 
@@ -41,3 +42,30 @@ def summarize(
     """The one-row summary: rounds played and every metric total for every roster person."""
     partials = person_partials(first_seat_only(roster_seats(rounds, roster, rules)))
     return career_summary(partials, roster, column_order)
+
+
+def table_roster_seats(
+    rounds: DataFrame, roster: DataFrame, rules: Rules = Rules(), broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+) -> DataFrame:
+    """Seat table of the kept rounds, persons resolved by joining a roster table (``alias, person``)."""
+    kept = roster_table_rounds(complete_rounds(rounds, rules), roster, broadcast_rows)
+    return seat_table(kept, None, rules)
+
+
+def totals_by_person_table(
+    rounds: DataFrame, roster: DataFrame, rules: Rules = Rules(), broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+) -> DataFrame:
+    """Per-person totals for a roster of any size (long form)."""
+    return person_totals(first_seat_only(table_roster_seats(rounds, roster, rules, broadcast_rows)))
+
+
+def summarize_table(
+    rounds: DataFrame,
+    roster: DataFrame,
+    people: Sequence[str],
+    rules: Rules = Rules(),
+    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+) -> DataFrame:
+    """One-row summary for the listed ``people``, persons resolved through a roster table."""
+    partials = person_partials(first_seat_only(table_roster_seats(rounds, roster, rules, broadcast_rows)))
+    return career_summary(partials, people)
