@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tricklens.model import SEATS, player_col
+from tricklens.sources.scratch import shared_dir
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
@@ -30,11 +31,17 @@ def seen_aliases(rounds: DataFrame) -> DataFrame:
 
 
 def roster_mapping(rounds: DataFrame, roster: DataFrame) -> DataFrame:
-    """``alias, person`` for the aliases seen in ``rounds``; fails if an alias has two persons."""
+    """``alias, person`` for the aliases seen in ``rounds``; fails if an alias has two persons.
+
+    The mapping is materialized once (reliable checkpoint in the session's
+    shared checkpoint folder), so the checks and the joins read that small
+    table instead of scanning the rounds again.
+    """
+    shared_dir(rounds.sparkSession)
     mapping = roster.select("alias", "person").join(seen_aliases(rounds), "alias", "left_semi")
     mapping = mapping.groupBy("alias").agg(
         F.expr("min(person) AS person"), F.expr("count(DISTINCT person) AS persons")
-    )
+    ).checkpoint(eager=True)
     if mapping.filter("persons > 1").limit(1).count():
         raise ValueError("an alias in the roster table belongs to two persons")
     return mapping.drop("persons")
