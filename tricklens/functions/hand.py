@@ -23,7 +23,7 @@ from tricklens.functions.tokens import (
     groups_over,
     in_list,
 )
-from tricklens.model import ACE_RANK, ENEMIES, FIGURE_RANKS, SUITS, Rules
+from tricklens.model import ACE_RANK, ENEMIES, FIGURE_RANKS, SEATS, SUITS, Rules
 
 
 def trump_picker(bids: str) -> str:
@@ -71,11 +71,16 @@ def suit_counts(cards: str, tarnib: str) -> dict[str, str]:
     suit = pattern_suit(tarnib)
     # Trump figures come from the per-suit counts when the trump is a suit
     # word; any other trump text is counted directly (rare path).
-    other = " + ".join(count_token_expr(cards, f"concat('{rank}_of_', {suit})") for rank in FIGURE_RANKS)
+    other = " + ".join(_count_nonempty(cards, f"concat('{rank}_of_', {suit})") for rank in FIGURE_RANKS)
     counts["trump_figures_other"] = f"(CASE WHEN NOT {in_list(suit, SUITS)} THEN {other} END)"
     return counts
 
 
+def _count_nonempty(text: str, token: str) -> str:
+    """``count_token_expr`` for a token expression that is never empty."""
+    return f"((octet_length({text}) - octet_length(replace({text}, {token}, ''))) div octet_length({token}))"
+
+
 def figures(n: dict[str, str] | None = None, prefix: str = "") -> str:
     """Figure count from rank counts (by name ``<prefix>n11`` .. or given expressions)."""
     if n is None:
@@ -83,8 +88,17 @@ def figures(n: dict[str, str] | None = None, prefix: str = "") -> str:
     return "(" + " + ".join(n[f"n{r}"] for r in FIGURE_RANKS) + ")"
 
 
-def _seat_case(seat: str, values: dict[int, str]) -> str:
-    return f"(CASE {seat} " + " ".join(f"WHEN {s} THEN {v}" for s, v in values.items()) + " END)"
+def _seat_lookup(seat: str, values: dict[int, int]) -> str:
+    """Per-seat constant: a literal when the seat is known, else an array lookup by seat."""
+    if seat.isdigit():
+        return str(values[int(seat)])
+    return f"element_at(array({', '.join(str(values[s]) for s in SEATS)}), {seat})"
+
+
+def _enemy_picked(seat: str, picker: str) -> str:
+    """The picker sits on the other team: seats 1..4 of the other parity."""
+    assert all(set(e) == {s for s in SEATS if s % 2 != own % 2} for own, e in ENEMIES.items())
+    return f"({picker} BETWEEN 1 AND 4 AND {picker} % 2 != {seat} % 2)"
 
 
 def seat_metrics(
@@ -106,8 +120,8 @@ def seat_metrics(
         f"(CASE {suit} " + " ".join(f"WHEN '{s}' THEN {c[f'fig_{s}']}" for s in SUITS)
         + f" ELSE {c['trump_figures_other']} END)"
     )
-    partner_picked = f"({picker} = {_seat_case(seat, rules.pick_partner)})"
-    enemy_picked = _seat_case(seat, {s: f"{picker} IN ({', '.join(map(str, e))})" for s, e in ENEMIES.items()})
+    partner_picked = f"({picker} = {_seat_lookup(seat, rules.pick_partner)})"
+    enemy_picked = _enemy_picked(seat, picker)
     many_trumps = f"({c['trumps']} > {rules.trumps_over})"
     score = " + ".join(f"{c[f'n{r}']} * {w}" for r, w in rules.figure_weights.items())
     metrics = {
