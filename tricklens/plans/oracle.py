@@ -183,6 +183,7 @@ def oracle_queries() -> dict[str, str]:
     summary = seats.rstrip("\n") + f",\ntotals AS ({_totals_select()})\nSELECT {', '.join(cells)} FROM totals"
     q["career_summary"] = summary
     q["summary_roundtrip"] = summary
+    q["summary_stream"] = summary
     q["x_picker"] = (
         "SELECT event_id, (CASE WHEN length(props) >= 2 THEN "
         "TRY_CAST(substr(props, length(props) - 1, 1) AS INTEGER) + 1 END) AS picker FROM events"

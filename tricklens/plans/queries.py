@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tricklens.functions.hand import trump_picker
 from tricklens.functions.tokens import count_tokens, first_match, token_groups_over, weighted_tokens
-from tricklens.model import COMPASS_ROSTER, METRICS, Rules
+from tricklens.model import COMPASS_ROSTER, METRICS, Rules, summary_columns
 from tricklens.operators.aggregates import career_summary, person_partials, person_totals, sum_all_with_count, wide_totals
 from tricklens.operators.attribution import attribution
 from tricklens.operators.filters import all_in, complete_rounds, sum_equals
@@ -26,6 +27,7 @@ from tricklens.sources.derived import derive_rounds
 from tricklens.sources.rounds import read_rounds, write_rounds
 from tricklens.sources.scratch import fresh_path
 from tricklens.sources.tables import spread, table
+from tricklens.streaming.summary_stream import start_summary_query
 
 ROSTER = COMPASS_ROSTER
 RULES = Rules()
@@ -112,6 +114,34 @@ def q_summary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(summary.schema).json(path)
 
 
+def q_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary as a Structured Streaming job over ``orders`` read as a file stream, run to completion.
+
+    Same plan as ``career_summary`` on ``readStream``: the per-person partial
+    sums are the state, each micro-batch rewrites the one-row result; the
+    written row is read back.
+    """
+    orders = table(spark, sf_dir, "orders")
+    keys = spark.readStream.schema(orders.schema).parquet(f"{sf_dir.rstrip('/')}/orders.parque[t]")
+    # A stream's splits cannot be inspected up front; spreading the 8-byte keys
+    # by hash keeps the row-local work of a one-file table on all cores.
+    keys = keys.select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    out = fresh_path(spark, "summary-stream")
+    query = start_summary_query(
+        derive_rounds(keys),
+        out,
+        ROSTER,
+        RULES,
+        checkpoint_location=fresh_path(spark, "summary-stream-checkpoint"),
+        available_now=True,
+    )
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    schema = T.StructType([T.StructField(c, T.LongType(), True) for c in summary_columns(ROSTER)])
+    return spark.read.schema(schema).json(out)
+
+
 # --- general forms on other tables ----------------------------------------
 
 def q_x_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +206,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "person_totals_roster_join": q_person_totals_roster_join,
             "career_summary": q_career_summary,
             "summary_roundtrip": q_summary_roundtrip,
+            "summary_stream": q_summary_stream,
             "x_picker": q_x_picker,
             "x_token_count": q_x_token_count,
             "x_weighted_score": q_x_weighted_score,

@@ -56,10 +56,24 @@ def start_summary_stream(
     checkpoint directory, named after the output, so a restarted job resumes
     where it left off.
     """
+    rounds = stream_rounds(spark, source_dir, fmt)
+    return start_summary_query(rounds, output_path, roster, rules, checkpoint_location, available_now, processing_time)
+
+
+def start_summary_query(
+    rounds: DataFrame,
+    output_path: str,
+    roster: Roster,
+    rules: Rules = Rules(),
+    checkpoint_location: str | None = None,
+    available_now: bool = False,
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Start the incremental summary over any streaming DataFrame of round records."""
     if checkpoint_location is None:
         tag = hashlib.sha1(output_path.encode()).hexdigest()[:16]
-        checkpoint_location = f"{shared_dir(spark)}/summary-stream-{tag}"
-    partials = running_partials(stream_rounds(spark, source_dir, fmt), roster, rules)
+        checkpoint_location = f"{shared_dir(rounds.sparkSession)}/summary-stream-{tag}"
+    partials = running_partials(rounds, roster, rules)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         write_summary(career_summary(batch, roster), output_path)
