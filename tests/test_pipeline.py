@@ -279,3 +279,10 @@ def test_parquet_plan_prunes_pushes_and_combines_map_side(spark, tmp_path):
     first_exchange = max(i for i, line in enumerate(lines) if "Exchange hashpartitioning(person" in line)
     assert any("HashAggregate(keys=[person" in line and "partial_" in line for line in lines[first_exchange:])
     assert s.first()["total_rounds_played"] == 20
+
+
+def test_names_and_aliases_with_spaces(spark):
+    roster = Roster.of({"ann b": ["ann b", "ab"], "bo": "bo", "cy": "cy", "di": "di"})
+    s = summarize(frame(spark, [rnd(1, ["Ann B", "bo", "cy", "di"])]), roster)
+    row = s.first().asDict()
+    assert row["ann b_figures_count"] == 5 and row["total_rounds_played"] == 1
