@@ -4,7 +4,9 @@
            ─► first seat per person ─► per-person partial sums ─► one wide row
 
 The only exchanges are the per-person aggregation (tasks x persons rows) and
-the one-row layout; both stay tiny at any input size.
+the one-row layout; both stay tiny at any input size. The ``*_table``
+variants resolve persons through a roster table instead (see
+``operators.roster_join``: broadcast joins behind an exact size check).
 """
 
 from __future__ import annotations
