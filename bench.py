@@ -49,7 +49,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     only = os.environ.get("BENCH_ONLY")
-    spark = local_session(cpus, app="tricklens-bench")
+    # Stage and task times: set BENCH_EVENT_LOG_DIR to a scratch folder for Spark's event log.
+    spark = local_session(cpus, app="tricklens-bench", event_log_dir=os.environ.get("BENCH_EVENT_LOG_DIR"))
     queries = registry()
     if only:
         queries = {k: v for k, v in queries.items() if re.search(only, k)}
