@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tricklens.model import Roster, Rules
 from tricklens.plans.summary import summarize
-from tricklens.session import JIT_METHOD_LIMIT
+from tricklens.session import jit_sized_codegen
 from tricklens.sources.rounds import read_rounds
 
 
@@ -50,7 +50,8 @@ def run(
     preview: bool = False,
 ) -> DataFrame:
     summary = summarize(read_rounds(spark, input_path, fmt), roster, rules)
-    write_summary(summary, output_path)
+    with jit_sized_codegen(spark):
+        write_summary(summary, output_path)
     if preview:
         # Reads the written row back instead of re-running the plan.
         written = spark.read.json(output_path)
@@ -70,8 +71,6 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--preview", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("round-summary").getOrCreate()
-    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
     run(
         spark,
         args.input,

@@ -134,6 +134,7 @@ def q_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         RULES,
         checkpoint_location=fresh_path(spark, "summary-stream-checkpoint"),
         available_now=True,
+        state_partitions=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
     if query.exception() is not None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Generated methods above HotSpot's 8000-byte limit are never JIT-compiled and
@@ -28,3 +31,16 @@ def local_session(cores: int = 8, app: str = "tricklens", event_log_dir: str | N
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+@contextmanager
+def jit_sized_codegen(spark: SparkSession) -> Iterator[None]:
+    """Within the block, cap generated methods at the JIT limit (if the session allows larger); restore after."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    if int(before) > JIT_METHOD_LIMIT:
+        spark.conf.set(key, str(JIT_METHOD_LIMIT))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -24,6 +24,7 @@ from tricklens.operators.aggregates import career_summary, person_partials
 from tricklens.operators.seats import first_seat_only
 from tricklens.plans.job import write_summary
 from tricklens.plans.summary import roster_seats
+from tricklens.session import jit_sized_codegen
 from tricklens.sources.scratch import shared_dir
 
 
@@ -68,8 +69,14 @@ def start_summary_query(
     checkpoint_location: str | None = None,
     available_now: bool = False,
     processing_time: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Start the incremental summary over any streaming DataFrame of round records."""
+    """Start the incremental summary over any streaming DataFrame of round records.
+
+    ``state_partitions`` fixes the number of state partitions for the life of
+    the checkpoint (default: the session's shuffle partitions); the state is
+    one row per person, so a few partitions suffice unless persons are many.
+    """
     if checkpoint_location is None:
         tag = hashlib.sha1(output_path.encode()).hexdigest()[:16]
         checkpoint_location = f"{shared_dir(rounds.sparkSession)}/summary-stream-{tag}"
@@ -87,4 +94,14 @@ def start_summary_query(
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    # The query keeps the settings it starts with, so these last for its life.
+    spark = rounds.sparkSession
+    with jit_sized_codegen(spark):
+        if state_partitions is None:
+            return writer.start()
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
