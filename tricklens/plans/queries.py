@@ -26,7 +26,7 @@ from tricklens.plans.summary import kept_rounds, roster_seats, totals_by_person_
 from tricklens.sources.derived import derive_rounds
 from tricklens.sources.rounds import read_rounds, write_rounds
 from tricklens.sources.scratch import fresh_path
-from tricklens.sources.tables import spread, table
+from tricklens.sources.tables import default_parallelism, spread, table
 from tricklens.streaming.summary_stream import start_summary_query
 
 ROSTER = COMPASS_ROSTER
@@ -125,7 +125,7 @@ def q_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.readStream.schema(orders.schema).parquet(f"{sf_dir.rstrip('/')}/orders.parque[t]")
     # A stream's splits cannot be inspected up front; spreading the 8-byte keys
     # by hash keeps the row-local work of a one-file table on all cores.
-    keys = keys.select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    keys = keys.select("o_orderkey").repartition(default_parallelism(spark), "o_orderkey")
     out = fresh_path(spark, "summary-stream")
     query = start_summary_query(
         derive_rounds(keys),
@@ -134,7 +134,7 @@ def q_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         RULES,
         checkpoint_location=fresh_path(spark, "summary-stream-checkpoint"),
         available_now=True,
-        state_partitions=spark.sparkContext.defaultParallelism,
+        state_partitions=default_parallelism(spark),
     )
     query.awaitTermination()
     if query.exception() is not None:

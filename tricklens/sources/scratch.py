@@ -15,14 +15,21 @@ from pyspark.sql import SparkSession
 
 
 def _configured_dir(spark: SparkSession) -> str | None:
-    jsc = spark.sparkContext._jsc
-    current = jsc.getCheckpointDir()
-    if current.isPresent():
-        return current.get()
-    value = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    return value or None
+    try:
+        current = spark.sparkContext._jsc.getCheckpointDir()
+        if current.isPresent():
+            return current.get()
+        value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # no SparkContext (e.g. a Spark Connect session)
+        value = None
+    return spark.conf.get("spark.checkpoint.dir", None) or value or None
+
+
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:  # cannot tell: treat as a cluster
+        return False
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = _configured_dir(spark)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _is_local(spark):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     local = tempfile.mkdtemp(prefix="tricklens-ckpt-")
     spark.sparkContext.setCheckpointDir(local)

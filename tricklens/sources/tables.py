@@ -18,7 +18,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     deterministic. Call it on the narrowest projection, before expensive
     row-local work.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    cores = default_parallelism(df.sparkSession)
+    try:
+        partitions = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as it is
+        return df
+    if partitions >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Cores of the application (falls back to the session's shuffle partitions without a SparkContext)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.default.parallelism", None) or spark.conf.get("spark.sql.shuffle.partitions"))
