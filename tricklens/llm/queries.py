@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tricklens.llm import apportion, blob_ledger, quality_rules
+from tricklens.llm import apportion, blob_ledger, disclosure, quality_rules
 from tricklens.llm.common import spelled, stored, table
 from tricklens.sources.scratch import fresh_path
 
@@ -28,6 +28,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = disclosure.spans_of(docs, "text", lambda df: stored(df, "disclosure"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["rank"] < len(disclosure.BASE_KINDS))
+    return out.select(
+        "doc_id",
+        *[number_of(spans, k) for k in disclosure.BASE_KINDS],
+        F.sha2(spelled(base), 256).alias("base_sha256"),
+        spelled(spans).alias("spans"),
+    )
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = apportion.mixed(docs, store=lambda df: stored(df, "mix"))
@@ -50,6 +63,7 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op6_disclosure": op6_disclosure,
         "op9_sainte_lague_mix": op9_sainte_lague_mix,
         "op10_blob_ledger": op10_blob_ledger,
     }
