@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tricklens.llm import apportion, blob_ledger, disclosure, quality_rules
+from tricklens.llm import apportion, blob_ledger, chunk_table, disclosure, quality_rules, record_files
 from tricklens.llm.common import spelled, stored, table
 from tricklens.sources.scratch import fresh_path
 
+PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
+
 
 def number_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -28,6 +34,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def id_digests(sp, ids) -> tuple[int, str, str]:
+    spelled_ids = " ".join(map(str, ids.tolist()))
+    return len(ids), hashlib.sha256(spelled_ids.encode()).hexdigest(), hashlib.sha256(sp.decode(ids.tolist()).encode()).hexdigest()
+
+
+def op3_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return chunk_table.encoded(docs, public_tokenizers.path(PIECES), finish=id_digests, schema=schema)
+
+
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = disclosure.spans_of(docs, "text", lambda df: stored(df, "disclosure"))
@@ -41,6 +58,11 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return record_files.read_records(record_files.write_records(docs, public_tokenizers.path(BYTES), end_id=0))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = apportion.mixed(docs, store=lambda df: stored(df, "mix"))
@@ -63,7 +85,9 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_chunk_table": op3_chunk_table,
         "op6_disclosure": op6_disclosure,
+        "op7_record_files": op7_record_files,
         "op9_sainte_lague_mix": op9_sainte_lague_mix,
         "op10_blob_ledger": op10_blob_ledger,
     }
