@@ -3,22 +3,25 @@
 Where no piece can cross a whitespace marker, a text's segmentation is the
 concatenation of its chunks' (a run of markers and the word after it). Each
 task cuts its texts into blocks of bounded size and writes, per block, its
-distinct chunks and every document as the positions of its chunks in that
-list. The distinct chunks of all blocks form one table, each segmented once.
-Its ids join back to the blocks' lists by chunk, and a block's list and
-documents meet again by block: no text is shuffled, and no word but once a block.
+distinct chunks (packed by hash bucket) and every document as the positions of
+its chunks in the block's list. The buckets of all blocks form the table of
+distinct chunks: a bucket's rows meet in one task, which segments each chunk
+once and answers every block's list in order. A block's ids and documents meet
+again by block, and ids take their places by position. No text is shuffled,
+and a word but once a block.
 
 Models whose pieces may cross markers, or that change white space, are
 encoded document by document instead.
 
 Defined results: a null or empty text has the end id alone; repeated rows are
-encoded each; very long texts are blocks of their own; an empty table gives an
+encoded each; a very long text is a block of its own; an empty table gives an
 empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from tricklens.llm.common import stored
 
 MARKERS = " ▁"
-BLOCK_CHARS = 8_000_000  # a block closes at this many characters; one text is never divided
+BLOCK_CHARS = 16_000_000  # a block closes at this many characters; one text is never divided
+BUCKETS = 256  # parts of the table of distinct chunks: raise with the vocabulary
+TABLE_CHUNKS = 1_000_000  # chunks of a bucket held at once; a larger bucket segments some again, with the same ids
 ENCODED = "doc_id long, ids binary, decoded string"  # ids: little-endian int32
 
 
@@ -60,7 +65,7 @@ def ids_and_text(sp, ids: np.ndarray) -> tuple[bytes, str]:
 
 
 def encoded(
-    docs: DataFrame, model: str, text: str = "text", finish: Callable = ids_and_text, schema: str = ENCODED, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, model: str, text: str = "text", finish: Callable = ids_and_text, schema: str = ENCODED, block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS
 ) -> DataFrame:
     """One row per document: its id and what ``finish(processor, ids)`` makes of all its ids, end id included.
 
@@ -71,21 +76,47 @@ def encoded(
     result = arrow_schema(docs, schema)
     if not separable(model):
         return texts.mapInArrow(whole_texts(model, finish, result), schema)
-    parts = stored(texts.mapInArrow(cut_blocks(block_chars), "block long, at int, chunk string, row int, doc_id long, places binary"), "chunk-blocks")
-    listed = parts.where(F.col("chunk").isNotNull()).select("block", "at", "chunk")
-    table = listed.select("chunk").distinct().mapInArrow(segment(model), "chunk string, ids binary")
-    lists = listed.join(table, "chunk").select(F.col("block").alias("list_block"), "at", "ids")
-    rows = parts.where(F.col("chunk").isNull()).select("block", "row", "doc_id", "places")
+    parts = stored(texts.mapInArrow(cut_blocks(block_chars, buckets), "block long, bucket int, row int, doc_id long, packed binary, at binary"), "chunk-blocks")
+    listed = parts.where(F.col("bucket").isNotNull()).select("block", "bucket", "packed", "at")
+    together = listed.repartition(F.col("bucket")).sortWithinPartitions("bucket", "block")
+    lists = together.mapInArrow(segment(model), "list_block long, at binary, lengths binary, ids binary")
+    rows = parts.where(F.col("bucket").isNull()).select("block", "row", "doc_id", F.col("packed").alias("places"))
     return rows.groupBy("block").cogroup(lists.groupBy("list_block")).applyInArrow(assemble(model, finish, result), schema)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small integers, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(numbers, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def packed(chunks: list[str]) -> bytes:
+    lengths = squeezed(np.fromiter(map(len, chunks), "<i4", len(chunks)))
+    return len(lengths).to_bytes(4, "little") + lengths + zlib.compress("".join(chunks).encode(), 1)
+
+
+def unpacked(data: bytes) -> list[str]:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    ends = np.cumsum(expanded(data[4:cut])).tolist()
+    text = zlib.decompress(data[cut:]).decode()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def arrow_schema(docs: DataFrame, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
 
-def cut_blocks(block_chars: int):
+BLOCK_ROWS = pa.schema(
+    [("block", pa.int64()), ("bucket", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("packed", pa.binary()), ("at", pa.binary())]
+)
+
+
+def cut_blocks(block_chars: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(f"[{MARKERS}]+[^{MARKERS}]*").findall
         task = TaskContext.get().partitionId() << 32
@@ -96,24 +127,23 @@ def cut_blocks(block_chars: int):
                 return at
 
         def closed(block: int, places: Places, ids: list, found: list) -> Iterator[pa.RecordBatch]:
-            n, m = len(places), len(found)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block] * (n + m), pa.int64()),
-                    "at": pa.array([*range(n), *[None] * m], pa.int32()),
-                    "chunk": pa.array([*places, *[None] * m], pa.string()),
-                    "row": pa.array([*[None] * n, *range(m)], pa.int32()),
-                    "doc_id": pa.array([*[None] * n, *ids], pa.int64()),
-                    "places": pa.array([*[None] * n, *found], pa.binary()),
-                }
-            )
+            chunks = sorted(places)  # neighbours share their beginnings, so they pack well
+            bucket_of = np.fromiter((zlib.crc32(c.encode()) % buckets for c in chunks), np.int32, len(chunks))
+            order = np.argsort(bucket_of, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket_of[order])) + 1
+            rows = [(block, None, i, d, f, None) for i, (d, f) in enumerate(zip(ids, found))]
+            for part in np.split(order, cuts) if chunks else []:
+                own = [chunks[i] for i in part]
+                at = squeezed(np.fromiter(map(places.__getitem__, own), "<i4", len(own)))
+                rows.append((block, int(bucket_of[part[0]]), None, None, packed(own), at))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK_ROWS)], schema=BLOCK_ROWS)
 
         places, ids, found, size, block = Places(), [], [], 0, task
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 chunks = find(" " + text) if text else []
-                found.append(np.fromiter(map(places.__getitem__, chunks), "<i4", len(chunks)).tobytes())
+                found.append(squeezed(np.fromiter(map(places.__getitem__, chunks), "<i4", len(chunks))))
                 ids.append(doc_id)
                 size += len(text)
                 if size >= block_chars:
@@ -128,13 +158,22 @@ def cut_blocks(block_chars: int):
 def segment(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
-        alone = np.array([sp.piece_to_id("▁")], "<i4").tobytes()
+        table: dict[str, list[int]] = {}
+        bucket = None
         for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            # The library puts the first marker back; a lone marker would be empty text to it.
-            every = sp.encode([c[1:] for c in chunks], num_threads=1)
-            ids = [np.array(i, "<i4").tobytes() if len(c) > 1 else alone for c, i in zip(chunks, every)]
-            yield pa.RecordBatch.from_pydict({"chunk": batch.column(0), "ids": pa.array(ids, pa.binary())})
+            out = ([], [], [], [])
+            for block, own, data, at in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "packed", "at"))):
+                if own != bucket or len(table) > TABLE_CHUNKS:
+                    table, bucket = {}, own
+                chunks = unpacked(data)
+                new = [c for c in chunks if c not in table]
+                # The library puts the first marker back; a lone marker would be empty text to it.
+                table.update(zip(new, sp.encode([c[1:] for c in new], num_threads=1)))
+                ids = [table[c] if len(c) > 1 else [sp.piece_to_id("▁")] for c in chunks]
+                for column, value in zip(out, (block, at, squeezed(np.fromiter(map(len, ids), "<i4", len(ids))), squeezed(np.array([i for x in ids for i in x], "<i4")))):
+                    column.append(value)
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["list_block", "at", "lengths", "ids"])
 
     return run
 
@@ -143,18 +182,17 @@ def assemble(model: str, finish: Callable, result: pa.Schema):
     def run(rows: pa.Table, lists: pa.Table) -> pa.Table:
         sp = processor(model)
         end = np.array([sp.eos_id()], "<i4")
-        ids = lists.column("ids").to_pylist()
-        order = np.argsort(lists.column("at").to_numpy()) if ids else []
-        ids = [ids[i] for i in order]  # by position in the block's list
-        lengths = np.array([len(b) // 4 for b in ids], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        flat = np.frombuffer(b"".join(ids), "<i4")
+        flat, starts, lengths = np.zeros(0, "<i4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if lists.num_rows:
+            at, n, flat = (np.concatenate([expanded(x) for x in lists.column(c).to_pylist()]) for c in ("at", "lengths", "ids"))
+            lengths, starts = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            lengths[at], starts[at] = n, np.cumsum(n) - n  # by position in the block's list
         out = []
         for doc_id, places in zip(rows.column("doc_id").to_pylist(), rows.column("places").to_pylist()):
-            at = np.frombuffer(places, "<i4")
-            n = lengths[at]
+            place = expanded(places)
+            n = lengths[place]
             # The i-th id of a document is at its chunk's start plus its place within the chunk.
-            first = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(at) else np.zeros(0, np.int64)
+            first = np.repeat(starts[place] - (np.cumsum(n) - n), n)
             out.append((doc_id, *finish(sp, np.concatenate([flat[first + np.arange(len(first))], end]))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(result), result)], schema=result)
 
