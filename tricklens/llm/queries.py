@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tricklens.llm import apportion, blob_ledger, chunk_table, disclosure, host_paths, quality_rules, record_files, reply_trees
+from tricklens.llm import apportion, blob_ledger, chunk_table, disclosure, host_paths, quality_rules, record_files, reply_trees, sorted_passes
 from tricklens.llm.common import spelled, stored, table
 from tricklens.sources.scratch import fresh_path
 
@@ -97,6 +97,10 @@ def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.read_records(record_files.write_records(docs, public_tokenizers.path(BYTES), end_id=0))
 
 
+def op8_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_passes.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = apportion.mixed(docs, store=lambda df: stored(df, "mix"))
@@ -124,6 +128,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_reply_trees": op4_reply_trees,
         "op6_disclosure": op6_disclosure,
         "op7_record_files": op7_record_files,
+        "op8_sorted_passes": op8_sorted_passes,
         "op9_sainte_lague_mix": op9_sainte_lague_mix,
         "op10_blob_ledger": op10_blob_ledger,
     }
