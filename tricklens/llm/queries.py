@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tricklens.llm import apportion, blob_ledger, chunk_table, disclosure, host_paths, quality_rules, record_files, reply_trees, sorted_passes
+from tricklens.llm import apportion, blob_ledger, chunk_table, coordinate_join, disclosure, host_paths, quality_rules, record_files, reply_trees, sorted_passes
 from tricklens.llm.common import spelled, stored, table
 from tricklens.sources.scratch import fresh_path
 
@@ -79,6 +79,10 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.mapInArrow(read_back, schema)
 
 
+def op5_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordinate_join.near_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = disclosure.spans_of(docs, "text", lambda df: stored(df, "disclosure"))
@@ -126,6 +130,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_host_paths": op2_host_paths,
         "op3_chunk_table": op3_chunk_table,
         "op4_reply_trees": op4_reply_trees,
+        "op5_coordinate_join": op5_coordinate_join,
         "op6_disclosure": op6_disclosure,
         "op7_record_files": op7_record_files,
         "op8_sorted_passes": op8_sorted_passes,
