@@ -345,15 +345,12 @@ def near_documents(
 
 
 def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents of ``docs`` that are the first of their group, with their own columns; of rows that repeat an id, one.
+    """The documents of ``docs`` that are the first of their group, with their own columns.
 
-    Only ids travel; the texts meet the list of kept ids once.
+    Of rows that repeat an id and its text, one stays. Only ids travel; the
+    texts meet the list of kept ids once.
     """
-    kept = near_documents(docs, text).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = stored(kept, "kept-documents")
-    unique = docs.dropDuplicates(["doc_id"]) if not docs.isEmpty() and _repeats(docs) else docs
-    return unique.join(kept.hint("shuffle_hash"), unique["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = stored(near_documents(docs, text).where("kept").select(F.col("doc_id").alias("kept_id")), "kept-documents")
+    repeated = kept.groupBy("kept_id").count().where("count > 1")
+    once = docs.dropDuplicates(["doc_id", text]) if not repeated.isEmpty() else docs
+    return once.join(kept.distinct().hint("shuffle_hash"), once["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
