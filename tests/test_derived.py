@@ -1,31 +1,46 @@
-"""The rounds derived from ``orders`` are full legal deals with the documented fields."""
+"""The rounds derived from ``orders``: legal deals, thousands of them, and the awkward records among them."""
 
 from __future__ import annotations
 
+import json
+
 from tricklens.plans.queries import rounds
+from tricklens.sources.derived import QUIRKS
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_every_round_is_a_full_deal(spark):
+def hit(name, key):
+    modulus, remainder = QUIRKS[name]
+    return key % modulus == remainder
+
+
+def test_every_plain_round_is_a_full_deal(spark):
+    plain = 0
+    for r in rounds(spark, SF).collect():
+        if not any(hit(n, r.round_id) for n in ("missing_comma", "ten_cards", "fourteen_cards", "null_hand")):
+            hands = [json.loads(r[f"player_{s}_cards"]) for s in range(1, 5)]
+            assert [len(h) for h in hands] == [13] * 4 and len({c for h in hands for c in h}) == 52
+            plain += 1
+    assert plain > 1000
+
+
+def test_deals_depend_on_the_whole_key(spark):
     r = rounds(spark, SF)
-    cards = r.selectExpr(
-        "round_id",
-        "explode(array_union(array_union(from_json(player_1_cards, 'array<string>'), from_json(player_2_cards, 'array<string>')),"
-        " array_union(from_json(player_3_cards, 'array<string>'), from_json(player_4_cards, 'array<string>')))) AS card",
-    )
-    per_round = cards.groupBy("round_id").count()
-    assert per_round.filter("count != 52").count() == 0
-    assert per_round.count() == r.count()
-    hands = r.selectExpr(*[f"size(from_json(player_{s}_cards, 'array<string>')) AS h{s}" for s in range(1, 5)])
-    assert hands.filter("h1 != 13 OR h2 != 13 OR h3 != 13 OR h4 != 13").count() == 0
-    assert cards.select("card").distinct().count() == 52
-
-
-def test_round_fields_follow_the_formulas(spark):
+    assert r.select("player_1_cards", "player_2_cards", "player_3_cards", "player_4_cards").distinct().count() > 0.95 * min(r.count(), 2704)
+
+
+def test_awkward_records(spark):
     rows = {row.round_id: row for row in rounds(spark, SF).collect()}
-    r = rows[30]  # 30 % 10 == 0: incomplete; 30 % 3 == 0: upper-case names
-    assert (r.team_1_score, r.team_2_score) == (30 % 14, 13 - 30 % 14 - 1)
-    assert r.player_1 == "SOUTH" and r.tarnib == ["spades", "hearts", "clubs", "diamonds"][(30 // 4) % 4]
-    assert r.bids_data.endswith(f":{(30 // 5) % 4}}}")
-    assert rows[101].player_3 is None and rows[17].player_2 == "guest"  # 17 % 17 == 0 and 17 % 4 == 1
+    first = lambda name: next(rows[k] for k in sorted(rows) if k and hit(name, k))
+    broken = next(rows[k] for k in sorted(rows) if hit("missing_comma", k) and '_of_hearts""' in rows[k].player_1_cards)
+    assert broken.player_1_cards.count("_of_") == 13
+    assert first("ten_cards").player_2_cards.count("_of_") == 10
+    assert first("fourteen_cards").player_3_cards.count("_of_") == 14
+    assert first("null_hand").player_4_cards is None
+    assert first("null_trump").tarnib is None and first("other_trump").tarnib == "notrump"
+    assert next(rows[k] for k in sorted(rows) if hit("empty_trump", k) and not hit("null_trump", k)).tarnib == ""
+    assert ":10" in first("bidder_ten").bids_data and ":-1" in first("bidder_minus_one").bids_data
+    assert first("space_before_brace").bids_data.endswith(" }") and first("null_bid").bids_data is None
+    assert first("float_score").team_1_score.endswith(".0") and first("unreadable_score").team_1_score == "n/a"
+    assert any(r.player_4 and r.player_4.lower() == "n" and "north" in [str(r[f"player_{s}"]).lower() for s in (1, 2, 3)] for r in rows.values())

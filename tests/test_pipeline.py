@@ -116,8 +116,10 @@ def test_person_totals_match_summary(spark):
 def test_legal_deal_invariant(spark):
     # For rounds with 13 legal cards per seat, the four hands hold 16 figures worth 40 points.
     from tricklens.plans.queries import rounds
+    from tricklens.sources.derived import QUIRKS
 
-    seats = seat_table(rounds(spark, "/root/testdata/sf0.001"), None)
+    plain = " AND ".join(f"round_id % {m} != {r}" for m, r in (QUIRKS[q] for q in ("missing_comma", "ten_cards", "fourteen_cards", "null_hand")))
+    seats = seat_table(rounds(spark, "/root/testdata/sf0.001").where(plain), None)
     bad = (
         seats.groupBy("round_id")
         .agg({"figures_count": "sum", "figures_score": "sum"})
@@ -240,20 +242,60 @@ def test_command_line(spark, tmp_path):
     assert row["total_rounds_played"] == 2
 
 
-def test_spread_only_repartitions_small_scans(spark, tmp_path):
-    from tricklens.sources.tables import spread
-
-    cores = spark.sparkContext.defaultParallelism
-    one = str(tmp_path / "one")
-    many = str(tmp_path / "many")
-    spark.range(1000).coalesce(1).write.parquet(one)
-    spark.range(1000).repartition(cores).write.parquet(many)
-    small = spread(spark.read.parquet(one), "id")
-    large = spread(spark.read.parquet(many), "id")
-    small_plan = small._jdf.queryExecution().executedPlan().toString()
-    large_plan = large._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(id" in small_plan and small.rdd.getNumPartitions() == cores
-    assert "Exchange" not in large_plan
+def test_job_starts_as_its_own_process(tmp_path):
+    """The launcher of a fresh checkout, from another folder, with the roster on storage and other options."""
+    import subprocess
+    import sys
+
+    src, out, roster = str(tmp_path / "rounds.jsonl"), str(tmp_path / "out"), tmp_path / "roster.json"
+    _write_jsonl(src, extra_nested=False)
+    roster.write_text(json.dumps({p: list(a) for p, a in ROSTER.people}))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    order = summary_columns(ROSTER)[::-1]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_SUBMIT_ARGS": "--conf spark.ui.enabled=false pyspark-shell"}
+    args = ["--input", src, "--output", out, "--roster", "file://" + str(roster), "--infer-schema", "--column-order", ",".join(order), "--rules", '{"aces_over": 0}']
+    done = subprocess.run([sys.executable, f"{root}/submit_summary.py", *args], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    [part] = [f for f in os.listdir(out) if f.endswith(".json")]
+    row = json.loads(open(os.path.join(out, part)).read())
+    assert row["total_rounds_played"] == 2 and list(row) == [c for c in order if c in row]
+
+
+def test_column_order_must_be_a_permutation(spark, tmp_path):
+    columns = summary_columns(ROSTER)
+    assert len(columns) == 49
+    for bad in (columns[:-1], [*columns, columns[0]], [*columns[:-1], "other"]):
+        with pytest.raises(ValueError):
+            summary_columns(ROSTER, bad)
+    src = str(tmp_path / "rounds.jsonl")
+    _write_jsonl(src, extra_nested=False)
+    out = str(tmp_path / "ordered")
+    run(spark, src, out, ROSTER, column_order=columns[::-1])
+    [part] = [f for f in os.listdir(out) if f.endswith(".json")]
+    row = json.loads(open(os.path.join(out, part)).read())
+    assert list(row) == [c for c in columns[::-1] if c in row]
+
+
+def test_malformed_and_truncated_lines_are_dropped(spark, tmp_path):
+    src = str(tmp_path / "rounds.jsonl")
+    _write_jsonl(src, extra_nested=False)
+    want = summarize(read_rounds(spark, src), ROSTER).first()
+    with open(src, "a") as fh:
+        fh.write('{"team_1_score": 7, "team_2_sc\nnot json\n\n["a list"]\n')
+    assert summarize(read_rounds(spark, src), ROSTER).first() == want
+
+
+def test_plan_shape_does_not_depend_on_the_number_of_files(spark, tmp_path):
+    import re
+
+    recs = [rnd(i, ["ann", "bo", "cy", "di"], bid=bids(i % 4)) for i in range(64)]
+    shapes = []
+    for files in (1, 16):
+        path = str(tmp_path / f"rounds-{files}")
+        frame(spark, recs).repartition(files).write.parquet(path)
+        plan = summarize(read_rounds(spark, path, "parquet"), ROSTER)._jdf.queryExecution().executedPlan().toString()
+        shapes.append(re.findall(r"(Exchange|HashAggregate|Generate|Filter|Project|FileScan)", plan))
+    assert shapes[0] == shapes[1]
 
 
 def test_parquet_plan_prunes_pushes_and_combines_map_side(spark, tmp_path):

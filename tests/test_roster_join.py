@@ -1,4 +1,4 @@
-"""Roster as a table: the join path equals the IN-list path, broadcast or not."""
+"""Roster as a table: the join path equals the IN-list path, whichever join Spark picks, in one scan."""
 
 from __future__ import annotations
 
@@ -16,12 +16,19 @@ def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_join_path_equals_in_list_path(spark, broadcast_rows):
-    r = rounds(spark, SF)
-    want = _rows(totals_by_person(r, COMPASS_ROSTER))
-    got = _rows(totals_by_person_table(r, roster_table(spark), broadcast_rows=broadcast_rows))
-    assert got == want
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_join_path_equals_in_list_path(spark, threshold):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, threshold)
+    try:
+        r = rounds(spark, SF)
+        got = totals_by_person_table(r, roster_table(spark))
+        assert _rows(got) == _rows(totals_by_person(r, COMPASS_ROSTER))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (threshold != "-1")
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_one_row_summary_through_the_join(spark):
@@ -31,20 +38,15 @@ def test_one_row_summary_through_the_join(spark):
     assert a == b
 
 
-def test_small_mapping_is_broadcast(spark):
-    r = rounds(spark, SF)
-    df = totals_by_person_table(r, roster_table(spark))
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
+def test_rounds_are_scanned_once(spark):
+    plan = totals_by_person_table(rounds(spark, SF), roster_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
 
 
-def test_mapping_keeps_only_seen_aliases_and_rejects_shared_ones(spark):
-    r = rounds(spark, SF)
-    extra = spark.createDataFrame([("nobody", "x"), ("north", "north")], "alias string, person string")
-    mapping = roster_mapping(r, roster_table(spark).union(extra))
-    assert sorted(m.alias for m in mapping.collect()) == ["east", "north", "south", "west"]
+def test_mapping_drops_repeats_and_rejects_shared_aliases(spark):
+    extra = spark.createDataFrame([("nobody", "x"), ("north", "north"), (None, "x")], "alias string, person string")
+    mapping = roster_mapping(roster_table(spark).union(extra))
+    assert sorted(m.alias for m in mapping.collect()) == ["east", "n", "nobody", "north", "south", "west"]
     clash = spark.createDataFrame([("north", "someone else")], "alias string, person string")
     with pytest.raises(ValueError):
-        roster_mapping(r, roster_table(spark).union(clash))
+        roster_mapping(roster_table(spark).union(clash))

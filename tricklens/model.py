@@ -38,8 +38,6 @@ HAND_PARTNER = {1: 3, 2: 4, 3: 1, 4: 2}
 # seat 4 is tested against seat 1, not its partner 2.
 PICK_PARTNER_ORIGINAL = {1: 3, 2: 4, 3: 1, 4: 1}
 PICK_PARTNER_CORRECTED = {1: 3, 2: 4, 3: 1, 4: 2}
-# Enemy seats of each seat.
-ENEMIES = {1: (2, 4), 2: (1, 3), 3: (2, 4), 4: (1, 3)}
 # Per-person metrics, in the column-group order of the summary.
 METRICS = (
     "figures_count",
@@ -160,10 +158,17 @@ class Rules:
 
 
 def summary_columns(roster: Roster, column_order: Sequence[str] | None = None) -> list[str]:
-    """The one-row summary's columns: the round count, then each metric for every person."""
-    if column_order is not None:
-        return list(column_order)
-    return [TOTAL_ROUNDS] + [f"{person}_{metric}" for metric in METRICS for person in roster.names]
+    """The one-row summary's columns: the round count, then each metric for every person.
+
+    ``column_order`` must be a permutation of them.
+    """
+    columns = [TOTAL_ROUNDS] + [f"{person}_{metric}" for metric in METRICS for person in roster.names]
+    if column_order is None:
+        return columns
+    if sorted(column_order) != sorted(columns):
+        wrong = sorted(set(column_order) ^ set(columns)) or "repeated columns"
+        raise ValueError(f"column_order must name each of the {len(columns)} summary columns once: {wrong}")
+    return list(column_order)
 
 
 # Roster of the derived test rounds (see sources.derived); one person has a

@@ -1,15 +1,12 @@
 """Roster given as a table: seat -> person by join, for rosters too large for an IN list.
 
 The roster table has columns ``alias`` (lower-case, as players are matched
-after ``lower``) and ``person``. Only aliases that occur in the rounds
-matter, so the table is first cut to those (a semi join against the distinct
-seat names, combined map-side), and that mapping is counted exactly:
-
-* at most ``broadcast_rows`` rows: broadcast, four map-side hash joins, no
-  shuffle of the rounds;
-* more: four shuffle joins on the lower-cased player name. A player in a
-  third of all rounds is a skewed join key; adaptive execution splits such
-  partitions (``spark.sql.adaptive.skewJoin.enabled``, on by default).
+after ``lower``) and ``person``. It is validated on its own (one small
+aggregation over the roster), then each seat's lower-cased player joins it:
+the rounds are scanned once. Spark picks the join by the roster's size in
+bytes; where it shuffles, adaptive execution splits the partition of a player
+who sits in a third of all rounds (``spark.sql.adaptive.skewJoin.enabled``,
+on by default).
 
 The result carries ``_person_1`` .. ``_person_4`` for ``seat_table``.
 """
@@ -20,51 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tricklens.model import SEATS, player_col
-from tricklens.sources.scratch import shared_dir
-
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def seen_aliases(rounds: DataFrame) -> DataFrame:
-    names = ", ".join(f"lower({player_col(s)})" for s in SEATS)
-    return rounds.selectExpr(f"explode(array({names})) AS alias").where("alias IS NOT NULL").distinct()
-
 
-def roster_mapping(rounds: DataFrame, roster: DataFrame) -> DataFrame:
-    """``alias, person`` for the aliases seen in ``rounds``; fails if an alias has two persons.
 
-    The mapping is materialized once (reliable checkpoint in the session's
-    shared checkpoint folder), so the checks and the joins read that small
-    table instead of scanning the rounds again.
-    """
-    shared_dir(rounds.sparkSession)
-    mapping = roster.select("alias", "person").join(seen_aliases(rounds), "alias", "left_semi")
-    mapping = mapping.groupBy("alias").agg(
-        F.expr("min(person) AS person"), F.expr("count(DISTINCT person) AS persons")
-    ).checkpoint(eager=True)
-    if mapping.filter("persons > 1").limit(1).count():
+def roster_mapping(roster: DataFrame) -> DataFrame:
+    """``alias, person`` without repeats and null aliases; fails if an alias has two persons."""
+    mapping = roster.select("alias", "person").where("alias IS NOT NULL").distinct()
+    if not mapping.groupBy("alias").count().where("count > 1").isEmpty():
         raise ValueError("an alias in the roster table belongs to two persons")
-    return mapping.drop("persons")
+    return mapping
 
 
-def resolve_persons(
-    rounds: DataFrame, roster: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS
-) -> DataFrame:
+def resolve_persons(rounds: DataFrame, roster: DataFrame) -> DataFrame:
     """``rounds`` plus ``_person_1`` .. ``_person_4`` (null for a player not on the roster)."""
-    mapping = roster_mapping(rounds, roster)
-    small = mapping.count() <= broadcast_rows
+    mapping = roster_mapping(roster)
     out = rounds
     for seat in SEATS:
         side = mapping.selectExpr(f"alias AS _alias_{seat}", f"person AS _person_{seat}")
-        if small:
-            side = F.broadcast(side)
         out = out.join(side, F.expr(f"lower({player_col(seat)}) = _alias_{seat}"), "left").drop(f"_alias_{seat}")
     return out
 
 
-def roster_table_rounds(
-    rounds: DataFrame, roster: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS
-) -> DataFrame:
+def roster_table_rounds(rounds: DataFrame, roster: DataFrame) -> DataFrame:
     """Rounds whose four seats are all on the roster table, with the persons resolved."""
-    resolved = resolve_persons(rounds, roster, broadcast_rows)
+    resolved = resolve_persons(rounds, roster)
     return resolved.filter(" AND ".join(f"_person_{s} IS NOT NULL" for s in SEATS))

@@ -1,11 +1,12 @@
 """Batch job: read rounds, summarize, write one JSON row.
 
-    spark-submit -m tricklens.plans.job --input s3a://.../rounds/ --output s3a://.../summary/ \
-        --roster roster.json [--format json|parquet] [--topology original|corrected] [--strict] [--preview]
+    spark-submit submit_summary.py --input s3a://.../rounds/ --output s3a://.../summary/ \
+        --roster s3a://.../roster.json [--format json|parquet] [--infer-schema] [--topology original|corrected] \
+        [--rules '{"aces_over": 1}'] [--column-order a,b,...] [--strict] [--preview]
 
-The roster file maps each person to a list of lower-case aliases, e.g.
-``{"ann": ["ann", "annie"], "bo": ["bo"]}``. The caller's ``spark-submit``
-provides the session and cluster settings.
+The roster maps each person to a list of lower-case aliases, e.g.
+``{"ann": ["ann", "annie"], "bo": ["bo"]}``: JSON text, or a path that Spark
+reads. The caller's ``spark-submit`` provides the session and cluster settings.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
-def load_roster(text_or_path: str) -> Roster:
+def load_roster(spark: SparkSession, text_or_path: str) -> Roster:
+    """A roster from JSON text, or from a JSON file on any storage that Spark reads."""
     text = text_or_path
     if not text_or_path.lstrip().startswith("{"):
-        with open(text_or_path, encoding="utf-8") as fh:
-            text = fh.read()
+        text = spark.read.text(text_or_path, wholetext=True).first()["value"]
     return Roster.of(json.loads(text))
 
 
@@ -48,8 +49,10 @@ def run(
     fmt: str = "json",
     rules: Rules = Rules(),
     preview: bool = False,
+    column_order: Sequence[str] | None = None,
+    infer_schema: bool = False,
 ) -> DataFrame:
-    summary = summarize(read_rounds(spark, input_path, fmt), roster, rules)
+    summary = summarize(read_rounds(spark, input_path, fmt, infer_schema), roster, rules, column_order)
     with jit_sized_codegen(spark):
         write_summary(summary, output_path)
     if preview:
@@ -67,6 +70,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--roster", required=True, help="JSON text or path of a JSON file")
     parser.add_argument("--format", default="json")
     parser.add_argument("--topology", default="original", choices=["original", "corrected"])
+    parser.add_argument("--infer-schema", action="store_true", help="read JSON with inferred types (one more scan)")
+    parser.add_argument("--rules", default="{}", help="JSON object of other rules: thresholds, figure_weights")
+    parser.add_argument("--column-order", help="all summary columns, comma-separated, in the order to write")
     parser.add_argument("--strict", action="store_true", help="fail on records the metrics cannot read")
     parser.add_argument("--preview", action="store_true")
     args = parser.parse_args(argv)
@@ -75,10 +81,12 @@ def main(argv: Sequence[str] | None = None) -> None:
         spark,
         args.input,
         args.output,
-        load_roster(args.roster),
+        load_roster(spark, args.roster),
         fmt=args.format,
-        rules=Rules(topology=args.topology, strict=args.strict),
+        rules=Rules(topology=args.topology, strict=args.strict, **json.loads(args.rules)),
         preview=args.preview,
+        column_order=args.column_order.split(",") if args.column_order else None,
+        infer_schema=args.infer_schema,
     )
 
 

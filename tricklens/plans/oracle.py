@@ -9,26 +9,38 @@ are the driver's views (``orders``, ``events``, ...).
 
 from __future__ import annotations
 
-from tricklens.model import (
-    COMPASS_ROSTER,
-    ENEMIES,
-    FIGURE_RANKS,
-    FIGURE_WEIGHTS,
-    HAND_PARTNER,
-    METRICS,
-    PICK_PARTNER_ORIGINAL,
-    SUITS,
-    TOTAL_ROUNDS,
+# The values below are written out here, not imported: a wrong value in the
+# library must not be wrong on both sides.
+SUITS = ("spades", "hearts", "clubs", "diamonds")
+FIGURE_WEIGHTS = {"11": 1, "12": 2, "13": 3, "14": 4}
+FIGURE_RANKS = ("11", "12", "13", "14")
+HAND_PARTNER = {1: 3, 2: 4, 3: 1, 4: 2}
+PICKED_BY_PARTNER = {1: 3, 2: 4, 3: 1, 4: 1}
+ENEMIES = {1: (2, 4), 2: (1, 3), 3: (2, 4), 4: (1, 3)}
+PEOPLE = {"north": ("north", "n"), "east": ("east",), "south": ("south",), "west": ("west",)}
+NAMES = ("north", "east", "south", "west")
+BIDS_PREFIX = '{"bids":[-1,7,-1,-1],"current_bidder":'
+TOTAL_ROUNDS = "total_rounds_played"
+METRICS = (
+    "figures_count",
+    "figures_score",
+    "tarnib_figures_count",
+    "over_3_enemy_tarnib_count",
+    "has_enemy_picked_tarnib_count",
+    "over_3_partner_tarnib_count",
+    "has_partner_picked_tarnib_count",
+    "team_figures_count",
+    "rounds_with_less_than_two_figures",
+    "over_two_aces_count",
+    "suits_over_five_cards",
+    "suits_with_over_one_figures",
 )
-from tricklens.plans.queries import (
-    EVENT_TYPES_KEPT,
-    EVENT_TYPES_WIDE,
-    PUNCTUATION_WEIGHTS,
-    WORD_GROUPS,
-    WORD_GROUPS_OVER,
-    WORDS,
-)
-from tricklens.sources.derived import BIDS_PREFIX, NAMES
+WORDS = ("the", "and", "de", "la", "der", "und", "el", "qui")
+PUNCTUATION_WEIGHTS = {".": 1, ",": 2, "?": 3, "!": 4}
+WORD_GROUPS = (("the", "The"), ("and", "And"), ("de", "De"), ("la", "La"), ("en", "En"))
+WORD_GROUPS_OVER = 5
+EVENT_TYPES_KEPT = ("purchase", "signup")
+EVENT_TYPES_WIDE = ("signup", "purchase", "error", "view", "click", "refund")
 
 
 def _q(s: str) -> str:
@@ -50,15 +62,23 @@ def rounds_cte() -> str:
     r = "o_orderkey"
     hands = []
     for h in range(4):
-        p = f"((((1 + {r} % 52) * ({13 * h} + s + 1)) % 53 - 1 + {r}) % 52)"
+        p = f"((((1 + {r} % 52) * ({13 * h} + s + 1)) % 53 - 1 + {r} // 52) % 52)"
         card = f"CAST(2 + {p} % 13 AS VARCHAR) || '_of_' || {SUIT_LIST}[{p} // 13 + 1]"
-        hands.append(
-            f"""'["' || array_to_string(list_transform(range(13), lambda s: {card}), '","') || '"]' AS player_{h + 1}_cards"""
-        )
+        slots = f"(CASE WHEN {r} % 29 = 0 THEN 10 ELSE 13 END)" if h == 1 else "13"
+        hand = f"""('["' || array_to_string(list_transform(range({slots}), lambda s: {card}), '","') || '"]')"""
+        if h == 0:
+            hand = f"""CASE WHEN {r} % 23 = 0 THEN replace({hand}, '_of_hearts",', '_of_hearts"') ELSE {hand} END"""
+        if h == 2:
+            hand = f"""CASE WHEN {r} % 31 = 0 THEN replace({hand}, ']', ',"14_of_spades"]') ELSE {hand} END"""
+        if h == 3:
+            hand = f"CASE WHEN {r} % 37 = 0 THEN NULL ELSE {hand} END"
+        hands.append(f"{hand} AS player_{h + 1}_cards")
     names = "[" + ", ".join(_q(n) for n in NAMES) + "]"
     players = []
     for h in range(4):
         name = f"{names}[({r} + {h}) % 4 + 1]"
+        if h == 3:
+            name = f"(CASE WHEN {r} % 19 = 0 THEN 'n' ELSE {name} END)"
         null_case = f"WHEN {r} % 101 = 0 AND {h} = 2 THEN NULL " if h == 2 else ""
         players.append(
             f"CASE {null_case}WHEN {r} % 17 = 0 AND {r} % 4 = {h} THEN 'guest' "
@@ -66,12 +86,14 @@ def rounds_cte() -> str:
         )
     cols = [
         f"{r} AS round_id",
-        f"{r} % 14 AS team_1_score",
-        f"13 - {r} % 14 - (CASE WHEN {r} % 10 = 0 THEN 1 ELSE 0 END) AS team_2_score",
+        f"CASE WHEN {r} % 25 = 24 THEN 'n/a' ELSE CAST({r} % 14 AS VARCHAR) || (CASE WHEN {r} % 6 = 1 THEN '.0' ELSE '' END) END AS team_1_score",
+        f"CAST(13 - {r} % 14 - (CASE WHEN {r} % 10 = 0 THEN 1 ELSE 0 END) AS VARCHAR) AS team_2_score",
         *players,
         *hands,
-        f"{SUIT_LIST}[({r} // 4) % 4 + 1] AS tarnib",
-        f"{_q(BIDS_PREFIX)} || CAST(({r} // 5) % 4 AS VARCHAR) || '}}' AS bids_data",
+        f"CASE WHEN {r} % 41 = 0 THEN NULL WHEN {r} % 43 = 0 THEN '' WHEN {r} % 47 = 0 THEN 'notrump' "
+        f"ELSE {SUIT_LIST}[({r} // 4) % 4 + 1] END AS tarnib",
+        f"CASE WHEN {r} % 59 = 0 THEN NULL ELSE {_q(BIDS_PREFIX)} || (CASE WHEN {r} % 13 = 0 THEN '10' WHEN {r} % 11 = 5 THEN '-1' "
+        f"ELSE CAST(({r} // 5) % 4 AS VARCHAR) END) || (CASE WHEN {r} % 15 = 7 THEN ' }}' ELSE '}}' END) END AS bids_data",
     ]
     return "rounds AS (SELECT " + ",\n  ".join(cols) + " FROM orders)"
 
@@ -79,7 +101,7 @@ def rounds_cte() -> str:
 def _person(seat: int) -> str:
     branches = " ".join(
         f"WHEN lower(player_{seat}) IN ({', '.join(_q(a) for a in aliases)}) THEN {_q(p)}"
-        for p, aliases in COMPASS_ROSTER.people
+        for p, aliases in PEOPLE.items()
     )
     return f"CASE {branches} END"
 
@@ -90,27 +112,32 @@ def _seat_metrics(seat: int) -> dict[str, str]:
     fig = "(" + " + ".join(_cnt_lit(c, r) for r in FIGURE_RANKS) + ")"
     pfig = "(" + " + ".join(_cnt_lit(pc, r) for r in FIGURE_RANKS) + ")"
     picker = "(CASE WHEN length(bids_data) >= 2 THEN TRY_CAST(substr(bids_data, length(bids_data) - 1, 1) AS INTEGER) + 1 END)"
-    trumps = _cnt(c, "tarnib")
-    partner = f"({picker} = {PICK_PARTNER_ORIGINAL[seat]})"
+    # An empty trump matches at every position; a null one leaves the count unknown.
+    trumps = f"(CASE WHEN tarnib = '' THEN length({c}) + 1 ELSE {_cnt(c, 'tarnib')} END)"
+    partner = f"({picker} = {PICKED_BY_PARTNER[seat]})"
     enemy = f"({picker} IN ({', '.join(map(str, ENEMIES[seat]))}))"
-    suit_len = [f"(CASE WHEN {_cnt_lit(c, 'of_' + s)} > 5 THEN 1 ELSE 0 END)" for s in SUITS]
-    suit_fig = [
-        "(CASE WHEN (" + " + ".join(_cnt_lit(c, f"{r}_of_{s}") for r in FIGURE_RANKS) + ") > 1 THEN 1 ELSE 0 END)"
-        for s in SUITS
-    ]
+
+    def flag(condition: str) -> str:  # null stays null
+        return f"CAST(({condition}) AS INTEGER)"
+
+    def over_3(picked: str) -> str:
+        return flag(f"CASE WHEN {picker} IS NULL THEN NULL WHEN {picked} THEN {trumps} > 3 ELSE FALSE END")
+
+    suit_len = [flag(f"{_cnt_lit(c, 'of_' + s)} > 5") for s in SUITS]
+    suit_fig = [flag("(" + " + ".join(_cnt_lit(c, f"{r}_of_{s}") for r in FIGURE_RANKS) + ") > 1") for s in SUITS]
     return {
         "figures_count": fig,
         "figures_score": "(" + " + ".join(f"{_cnt_lit(c, r)} * {w}" for r, w in FIGURE_WEIGHTS.items()) + ")",
-        "tarnib_figures_count": "(" + " + ".join(_cnt(c, f"'{r}_of_' || tarnib") for r in FIGURE_RANKS) + ")",
+        "tarnib_figures_count": "(" + " + ".join(_cnt(c, f"('{r}_of_' || coalesce(tarnib, 'null'))") for r in FIGURE_RANKS) + ")",
         "team_figures_count": f"({fig} + {pfig})",
-        "rounds_with_less_than_two_figures": f"(CASE WHEN {fig} < 2 THEN 1 ELSE 0 END)",
-        "over_two_aces_count": f"(CASE WHEN {_cnt_lit(c, '14')} > 2 THEN 1 ELSE 0 END)",
+        "rounds_with_less_than_two_figures": flag(f"{fig} < 2"),
+        "over_two_aces_count": flag(f"{_cnt_lit(c, '14')} > 2"),
         "suits_over_five_cards": "(" + " + ".join(suit_len) + ")",
         "suits_with_over_one_figures": "(" + " + ".join(suit_fig) + ")",
-        "has_partner_picked_tarnib_count": f"(CASE WHEN {picker} IS NULL THEN NULL WHEN {partner} THEN 1 ELSE 0 END)",
-        "has_enemy_picked_tarnib_count": f"(CASE WHEN {picker} IS NULL THEN NULL WHEN {enemy} THEN 1 ELSE 0 END)",
-        "over_3_partner_tarnib_count": f"(CASE WHEN {picker} IS NULL THEN NULL WHEN {partner} AND {trumps} > 3 THEN 1 ELSE 0 END)",
-        "over_3_enemy_tarnib_count": f"(CASE WHEN {picker} IS NULL THEN NULL WHEN {enemy} AND {trumps} > 3 THEN 1 ELSE 0 END)",
+        "has_partner_picked_tarnib_count": flag(partner),
+        "has_enemy_picked_tarnib_count": flag(enemy),
+        "over_3_partner_tarnib_count": over_3(partner),
+        "over_3_enemy_tarnib_count": over_3(enemy),
     }
 
 
@@ -129,10 +156,11 @@ def _seat_rows(source: str, with_person: bool) -> str:
     return "\nUNION ALL\n".join(selects)
 
 
+COMPLETE = "TRY_CAST(team_1_score AS DOUBLE) + TRY_CAST(team_2_score AS DOUBLE) = 13"
 KEPT_WHERE = (
-    "team_1_score + team_2_score = 13 AND "
+    COMPLETE + " AND "
     + " AND ".join(
-        f"lower(player_{s}) IN ({', '.join(_q(a) for a in COMPASS_ROSTER.aliases)})" for s in range(1, 5)
+        f"lower(player_{s}) IN ({', '.join(_q(a) for aliases in PEOPLE.values() for a in aliases)})" for s in range(1, 5)
     )
 )
 
@@ -160,12 +188,9 @@ def oracle_queries() -> dict[str, str]:
     seats = _with(rounds_cte(), _kept(), _seats())
     round_cols = "round_id, team_1_score, team_2_score, player_1, player_2, player_3, player_4, " \
         "player_1_cards, player_2_cards, player_3_cards, player_4_cards, tarnib, bids_data"
-    text_cols = ", ".join(
-        f"CAST({c} AS VARCHAR) AS {c}" if c in ("team_1_score", "team_2_score") else c for c in round_cols.split(", ")
-    )
     q: dict[str, str] = {
-        "rounds_source": base + f"SELECT {text_cols} FROM rounds",
-        "complete_rounds": base + f"SELECT {round_cols} FROM rounds WHERE team_1_score + team_2_score = 13",
+        "rounds_source": base + f"SELECT {round_cols} FROM rounds",
+        "complete_rounds": base + f"SELECT {round_cols} FROM rounds WHERE {COMPLETE}",
         "roster_rounds": kept + f"SELECT {round_cols} FROM kept",
         "seat_features": seats + "SELECT * FROM seats",
     }
@@ -178,12 +203,13 @@ def oracle_queries() -> dict[str, str]:
     # Round count: every kept round, counted once.
     cells = [f"(SELECT CAST(count(*) AS BIGINT) FROM kept) AS {TOTAL_ROUNDS}"]
     for m in METRICS:
-        for p in COMPASS_ROSTER.names:
+        for p in PEOPLE:
             cells.append(f"CAST(sum(CASE WHEN person = {_q(p)} THEN {m} END) AS BIGINT) AS {p}_{m}")
     summary = seats.rstrip("\n") + f",\ntotals AS ({_totals_select()})\nSELECT {', '.join(cells)} FROM totals"
     q["career_summary"] = summary
     q["summary_roundtrip"] = summary
     q["summary_stream"] = summary
+    q["summary_job"] = summary
     q["x_picker"] = (
         "SELECT event_id, (CASE WHEN length(props) >= 2 THEN "
         "TRY_CAST(substr(props, length(props) - 1, 1) AS INTEGER) + 1 END) AS picker FROM events"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,13 +22,14 @@ from tricklens.operators.aggregates import career_summary, person_partials, pers
 from tricklens.operators.attribution import attribution
 from tricklens.operators.filters import all_in, complete_rounds, sum_equals
 from tricklens.operators.seats import first_seat_only, seat_table
+from tricklens.plans.job import run as run_job
 from tricklens.plans.job import write_summary
 from tricklens.plans.summary import kept_rounds, roster_seats, totals_by_person_table
 from tricklens.sources.derived import derive_rounds
 from tricklens.sources.rounds import read_rounds, write_rounds
 from tricklens.sources.scratch import fresh_path
-from tricklens.sources.tables import default_parallelism, spread, table
-from tricklens.streaming.summary_stream import start_summary_query
+from tricklens.sources.tables import table
+from tricklens.streaming.summary_stream import ANY_AGE, start_summary_query
 
 ROSTER = COMPASS_ROSTER
 RULES = Rules()
@@ -42,9 +44,8 @@ EVENT_TYPES_WIDE = ("signup", "purchase", "error", "view", "click", "refund")
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card rounds derived from ``orders``, spread over all cores when the scan is one split."""
-    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    return derive_rounds(keys)
+    """Card rounds derived from ``orders``, row by row."""
+    return derive_rounds(table(spark, sf_dir, "orders").select("o_orderkey"))
 
 
 # --- sources -------------------------------------------------------------
@@ -93,12 +94,12 @@ def q_person_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roster_table(spark: SparkSession) -> DataFrame:
     """The roster parameter as an ``alias, person`` table (the join path of large rosters)."""
-    rows = [(alias, person) for person, aliases in ROSTER.people for alias in aliases]
-    return spark.createDataFrame(rows, "alias string, person string")
+    pairs = [(alias, person) for person, aliases in ROSTER.people for alias in aliases]
+    return spark.createDataFrame(pa.table({"alias": [a for a, _ in pairs], "person": [p for _, p in pairs]}))
 
 
 def q_person_totals_roster_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``person_totals`` with seats resolved by a (size-checked, broadcast) join to a roster table."""
+    """``person_totals`` with seats resolved by joins to a roster table."""
     return totals_by_person_table(rounds(spark, sf_dir), roster_table(spark), RULES)
 
 
@@ -122,19 +123,18 @@ def q_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     written row is read back.
     """
     orders = table(spark, sf_dir, "orders")
-    keys = spark.readStream.schema(orders.schema).parquet(f"{sf_dir.rstrip('/')}/orders.parque[t]")
-    # A stream's splits cannot be inspected up front; spreading the 8-byte keys
-    # by hash keeps the row-local work of a one-file table on all cores.
-    keys = keys.select("o_orderkey").repartition(default_parallelism(spark), "o_orderkey")
+    # A file stream reads a folder or a glob; the driver's table may be either one file or a folder of
+    # files, and this glob of exactly its name covers both.
+    keys = spark.readStream.schema(orders.schema).option("maxFileAge", ANY_AGE).parquet(f"{sf_dir.rstrip('/')}/orders.parque[t]")
     out = fresh_path(spark, "summary-stream")
     query = start_summary_query(
-        derive_rounds(keys),
+        derive_rounds(keys.select("o_orderkey")),
         out,
         ROSTER,
         RULES,
         checkpoint_location=fresh_path(spark, "summary-stream-checkpoint"),
         available_now=True,
-        state_partitions=default_parallelism(spark),
+        source=f"orders of {sf_dir}",
     )
     query.awaitTermination()
     if query.exception() is not None:
@@ -143,6 +143,26 @@ def q_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(out)
 
 
+MALFORMED = ('{"team_1_score": 7, "team_2_sc', "not json at all", "", '["a list"]')
+
+
+def q_summary_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: JSON-lines rounds (with malformed and truncated lines among them) in, one JSON row out and read back.
+
+    The round copy and the result stay in the session's shared folder, whose
+    owner cleans it; each call takes fresh names.
+    """
+    source, out = fresh_path(spark, "job-rounds"), fresh_path(spark, "job-summary")
+    lines = rounds(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    # A bad line follows every hundredth record.
+    bad = F.element_at(F.array(*[F.lit(x) for x in MALFORMED]), (F.col("id") % len(MALFORMED) + 1).cast("int"))
+    ids = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"))
+    lines.unionByName(ids.select(bad.alias("value"))).write.text(source)
+    run_job(spark, source, out, ROSTER, rules=RULES)
+    schema = T.StructType([T.StructField(c, T.LongType(), True) for c in summary_columns(ROSTER)])
+    return spark.read.schema(schema).json(out)
+
+
 # --- general forms on other tables ----------------------------------------
 
 def q_x_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +170,7 @@ def q_x_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_x_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     counts = [f"{count_tokens('text', [w])} AS n_{w}" for w in WORDS]
     return docs.selectExpr("lang", *counts).groupBy("lang").agg(*[F.expr(f"sum(n_{w}) AS n_{w}") for w in WORDS])
 
@@ -162,7 +182,7 @@ def q_x_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_x_threshold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.selectExpr("doc_id", f"{token_groups_over('text', WORD_GROUPS, WORD_GROUPS_OVER)} AS groups_over")
 
 
@@ -208,6 +228,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "career_summary": q_career_summary,
             "summary_roundtrip": q_summary_roundtrip,
             "summary_stream": q_summary_stream,
+            "summary_job": q_summary_job,
             "x_picker": q_x_picker,
             "x_token_count": q_x_token_count,
             "x_weighted_score": q_x_weighted_score,

@@ -6,7 +6,7 @@
 The only exchanges are the per-person aggregation (tasks x persons rows) and
 the one-row layout; both stay tiny at any input size. The ``*_table``
 variants resolve persons through a roster table instead (see
-``operators.roster_join``: broadcast joins behind an exact size check).
+``operators.roster_join``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from tricklens.model import Roster, Rules
 from tricklens.operators.aggregates import career_summary, person_partials, person_totals
 from tricklens.operators.filters import complete_rounds, roster_rounds
-from tricklens.operators.roster_join import DEFAULT_BROADCAST_ROWS, roster_table_rounds
+from tricklens.operators.roster_join import roster_table_rounds
 from tricklens.operators.seats import first_seat_only, seat_table
 
 
@@ -47,18 +47,18 @@ def summarize(
 
 
 def table_roster_seats(
-    rounds: DataFrame, roster: DataFrame, rules: Rules = Rules(), broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    rounds: DataFrame, roster: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """Seat table of the kept rounds, persons resolved by joining a roster table (``alias, person``)."""
-    kept = roster_table_rounds(complete_rounds(rounds, rules), roster, broadcast_rows)
+    kept = roster_table_rounds(complete_rounds(rounds, rules), roster)
     return seat_table(kept, None, rules)
 
 
 def totals_by_person_table(
-    rounds: DataFrame, roster: DataFrame, rules: Rules = Rules(), broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    rounds: DataFrame, roster: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """Per-person totals for a roster of any size (long form)."""
-    return person_totals(first_seat_only(table_roster_seats(rounds, roster, rules, broadcast_rows)))
+    return person_totals(first_seat_only(table_roster_seats(rounds, roster, rules)))
 
 
 def summarize_table(
@@ -66,8 +66,8 @@ def summarize_table(
     roster: DataFrame,
     people: Sequence[str],
     rules: Rules = Rules(),
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    column_order: Sequence[str] | None = None,
 ) -> DataFrame:
     """One-row summary for the listed ``people``, persons resolved through a roster table."""
-    partials = person_partials(first_seat_only(table_roster_seats(rounds, roster, rules, broadcast_rows)))
-    return career_summary(partials, people)
+    partials = person_partials(first_seat_only(table_roster_seats(rounds, roster, rules)))
+    return career_summary(partials, people, column_order)

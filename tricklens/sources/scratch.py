@@ -27,7 +27,7 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 def _is_local(spark: SparkSession) -> bool:
     try:
-        return spark.sparkContext.master.startswith("local")
+        return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
     except Exception:  # cannot tell: treat as a cluster
         return False
 

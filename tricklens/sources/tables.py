@@ -1,4 +1,4 @@
-"""The driver's Parquet tables, and spreading small scans over all cores."""
+"""The driver's Parquet tables."""
 
 from __future__ import annotations
 
@@ -7,30 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` on ``keys`` only when the scan gives fewer tasks than cores.
-
-    A large input already arrives in many file splits and is left alone (no
-    shuffle). A small single-file table would otherwise run its row-local
-    work in one task; hash partitioning (not round robin) keeps retries
-    deterministic. Call it on the narrowest projection, before expensive
-    row-local work.
-    """
-    cores = default_parallelism(df.sparkSession)
-    try:
-        partitions = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as it is
-        return df
-    if partitions >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    """Cores of the application (falls back to the session's shuffle partitions without a SparkContext)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:
-        return int(spark.conf.get("spark.default.parallelism", None) or spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,11 +15,13 @@ No operator is added: it is the batch plan over ``readStream`` instead of
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tricklens.model import ROUNDS_SCHEMA, Roster, Rules
+from tricklens.model import ROUNDS_SCHEMA, Roster, Rules, summary_columns
 from tricklens.operators.aggregates import career_summary, person_partials
 from tricklens.operators.seats import first_seat_only
 from tricklens.plans.job import write_summary
@@ -28,8 +30,16 @@ from tricklens.session import jit_sized_codegen
 from tricklens.sources.scratch import shared_dir
 
 
-def stream_rounds(spark: SparkSession, source_dir: str, fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(ROUNDS_SCHEMA).format(fmt)
+# The file source skips files older than this against the newest one seen (Spark's own default is 7 days).
+# Every record under the path counts, so nothing is ever too old.
+ANY_AGE = "36500d"
+
+
+def stream_rounds(
+    spark: SparkSession, source_dir: str, fmt: str = "json", max_files_per_trigger: int | None = None, max_file_age: str = ANY_AGE
+) -> DataFrame:
+    """Round files as they arrive. A shorter ``max_file_age`` drops files that arrive with older dates."""
+    reader = spark.readStream.schema(ROUNDS_SCHEMA).format(fmt).option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(source_dir)
@@ -50,15 +60,46 @@ def start_summary_stream(
     checkpoint_location: str | None = None,
     available_now: bool = False,
     processing_time: str | None = None,
+    column_order: Sequence[str] | None = None,
+    max_file_age: str = ANY_AGE,
 ) -> StreamingQuery:
     """Start the incremental summary; ``available_now`` processes what is there and stops.
 
     The checkpoint defaults to a folder under the session's shared
     checkpoint directory, named after the output, so a restarted job resumes
-    where it left off.
+    where it left off. The state adds up what roster, rules and source made
+    of the rounds so far, so a checkpoint resumes under the same ones only.
     """
-    rounds = stream_rounds(spark, source_dir, fmt)
-    return start_summary_query(rounds, output_path, roster, rules, checkpoint_location, available_now, processing_time)
+    rounds = stream_rounds(spark, source_dir, fmt, max_file_age=max_file_age)
+    return start_summary_query(
+        rounds, output_path, roster, rules, checkpoint_location, available_now, processing_time, column_order, f"{fmt} {source_dir}"
+    )
+
+
+def definition_text(roster: Roster, rules: Rules, source: str) -> str:
+    """What the state depends on, as text."""
+    fields = {k: dict(v) if isinstance(v, Mapping) else v for k, v in vars(rules).items()}
+    return json.dumps({"roster": roster.people, "rules": fields, "source": source}, sort_keys=True)
+
+
+def bind_checkpoint(spark: SparkSession, checkpoint_location: str, definition: str) -> None:
+    """Writes the definition beside a new checkpoint; refuses to resume one that was made under another."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(checkpoint_location.rstrip("/") + ".definition")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stored = spark.read.text(path.toString(), wholetext=True).first()["value"]
+        if stored != definition:
+            raise ValueError(
+                f"the checkpoint {checkpoint_location} holds sums under another roster, rules or source; "
+                "start a new checkpoint (and read all rounds again) for the changed ones"
+            )
+        return
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(definition.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def start_summary_query(
@@ -69,21 +110,24 @@ def start_summary_query(
     checkpoint_location: str | None = None,
     available_now: bool = False,
     processing_time: str | None = None,
-    state_partitions: int | None = None,
+    column_order: Sequence[str] | None = None,
+    source: str = "",
 ) -> StreamingQuery:
     """Start the incremental summary over any streaming DataFrame of round records.
 
-    ``state_partitions`` fixes the number of state partitions for the life of
-    the checkpoint (default: the session's shuffle partitions); the state is
-    one row per person, so a few partitions suffice unless persons are many.
+    The state is one row per person, in the session's shuffle partitions at
+    the first start. ``source`` names where the rounds come from; with roster
+    and rules it is bound to the checkpoint.
     """
+    summary_columns(roster, column_order)  # fails on a bad order before anything starts
     if checkpoint_location is None:
         tag = hashlib.sha1(output_path.encode()).hexdigest()[:16]
         checkpoint_location = f"{shared_dir(rounds.sparkSession)}/summary-stream-{tag}"
+    bind_checkpoint(rounds.sparkSession, checkpoint_location, definition_text(roster, rules, source))
     partials = running_partials(rounds, roster, rules)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        write_summary(career_summary(batch, roster), output_path)
+        write_summary(career_summary(batch, roster, column_order), output_path)
 
     writer = (
         partials.writeStream.outputMode("complete")
@@ -95,13 +139,5 @@ def start_summary_query(
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     # The query keeps the settings it starts with, so these last for its life.
-    spark = rounds.sparkSession
-    with jit_sized_codegen(spark):
-        if state_partitions is None:
-            return writer.start()
-        before = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-        try:
-            return writer.start()
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
+    with jit_sized_codegen(rounds.sparkSession):
+        return writer.start()
