@@ -10,6 +10,12 @@ once and answers every block's list in order. A block's ids and documents meet
 again by block, and ids take their places by position. No text is shuffled,
 and a word but once a block.
 
+The lists and the positions come from two passes over the same texts, each
+cheaper than writing both down and reading them back. A block is named by a
+digest of all it holds, so two passes that cut differently (an input whose
+rows change order between reads) end in an error, not in wrong ids; write
+such an input to a table first.
+
 Models whose pieces may cross markers, or that change white space, are
 encoded document by document instead.
 
@@ -20,20 +26,18 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricklens.llm.common import stored
-
 MARKERS = " ▁"
-BLOCK_CHARS = 16_000_000  # a block closes at this many characters; one text is never divided
+BLOCK_CHARS = 32_000_000  # a block closes at this many characters; one text is never divided
 BUCKETS = 256  # parts of the table of distinct chunks: raise with the vocabulary
 TABLE_CHUNKS = 1_000_000  # chunks of a bucket held at once; a larger bucket segments some again, with the same ids
 ENCODED = "doc_id long, ids binary, decoded string"  # ids: little-endian int32
@@ -76,11 +80,10 @@ def encoded(
     result = arrow_schema(docs, schema)
     if not separable(model):
         return texts.mapInArrow(whole_texts(model, finish, result), schema)
-    parts = stored(texts.mapInArrow(cut_blocks(block_chars, buckets), "block long, bucket int, row int, doc_id long, packed binary, at binary"), "chunk-blocks")
-    listed = parts.where(F.col("bucket").isNotNull()).select("block", "bucket", "packed", "at")
+    listed = texts.mapInArrow(cut_blocks(block_chars, buckets, LISTS), "block long, bucket int, packed binary, at binary")
     together = listed.repartition(F.col("bucket")).sortWithinPartitions("bucket", "block")
     lists = together.mapInArrow(segment(model), "list_block long, at binary, lengths binary, ids binary")
-    rows = parts.where(F.col("bucket").isNull()).select("block", "row", "doc_id", F.col("packed").alias("places"))
+    rows = texts.mapInArrow(cut_blocks(block_chars, buckets, ROWS), "block long, doc_id long, places binary")
     return rows.groupBy("block").cogroup(lists.groupBy("list_block")).applyInArrow(assemble(model, finish, result), schema)
 
 
@@ -111,34 +114,43 @@ def arrow_schema(docs: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
 
-BLOCK_ROWS = pa.schema(
-    [("block", pa.int64()), ("bucket", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("packed", pa.binary()), ("at", pa.binary())]
-)
+LISTS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("at", pa.binary())])
+ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("places", pa.binary())])
+
 
+def cut_blocks(block_chars: int, buckets: int, wanted: pa.Schema):
+    """Texts to blocks: the blocks' lists of chunks, or the documents as positions in them."""
 
-def cut_blocks(block_chars: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(f"[{MARKERS}]+[^{MARKERS}]*").findall
-        task = TaskContext.get().partitionId() << 32
 
         class Places(dict):
             def __missing__(self, chunk):
                 self[chunk] = at = len(self)
                 return at
 
-        def closed(block: int, places: Places, ids: list, found: list) -> Iterator[pa.RecordBatch]:
-            chunks = sorted(places)  # neighbours share their beginnings, so they pack well
-            bucket_of = np.fromiter((zlib.crc32(c.encode()) % buckets for c in chunks), np.int32, len(chunks))
-            order = np.argsort(bucket_of, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket_of[order])) + 1
-            rows = [(block, None, i, d, f, None) for i, (d, f) in enumerate(zip(ids, found))]
-            for part in np.split(order, cuts) if chunks else []:
-                own = [chunks[i] for i in part]
-                at = squeezed(np.fromiter(map(places.__getitem__, own), "<i4", len(own)))
-                rows.append((block, int(bucket_of[part[0]]), None, None, packed(own), at))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK_ROWS)], schema=BLOCK_ROWS)
-
-        places, ids, found, size, block = Places(), [], [], 0, task
+        def closed(places: Places, ids: list, found: list) -> Iterator[pa.RecordBatch]:
+            # Places count chunks in order of first use, so the chunks in that order and the places say all.
+            content = hashlib.blake2b(repr(ids).encode(), digest_size=8)
+            content.update("\n".join(places).encode())
+            for f in found:
+                content.update(f)
+            block = int.from_bytes(content.digest(), "little", signed=True)
+            if wanted is ROWS:
+                rows = [(block, d, f) for d, f in zip(ids, found)]
+            else:
+                chunks = sorted(places)  # neighbours share their beginnings, so they pack well
+                bucket_of = np.fromiter((zlib.crc32(c.encode()) % buckets for c in chunks), np.int32, len(chunks))
+                order = np.argsort(bucket_of, kind="stable")
+                rows = []
+                for part in np.split(order, np.flatnonzero(np.diff(bucket_of[order])) + 1) if chunks else []:
+                    own = [chunks[i] for i in part]
+                    at = squeezed(np.fromiter(map(places.__getitem__, own), "<i4", len(own)))
+                    rows.append((block, int(bucket_of[part[0]]), packed(own), at))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), wanted)], schema=wanted)
+
+        places, ids, found, size = Places(), [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
@@ -147,10 +159,10 @@ def cut_blocks(block_chars: int, buckets: int):
                 ids.append(doc_id)
                 size += len(text)
                 if size >= block_chars:
-                    yield from closed(block, places, ids, found)
-                    places, ids, found, size, block = Places(), [], [], 0, block + 1
+                    yield from closed(places, ids, found)
+                    places, ids, found, size = Places(), [], [], 0
         if ids:
-            yield from closed(block, places, ids, found)
+            yield from closed(places, ids, found)
 
     return run
 
@@ -190,6 +202,8 @@ def assemble(model: str, finish: Callable, result: pa.Schema):
         out = []
         for doc_id, places in zip(rows.column("doc_id").to_pylist(), rows.column("places").to_pylist()):
             place = expanded(places)
+            if len(place) and place.max() >= len(lengths):
+                raise RuntimeError("the two passes over the texts cut different blocks: write the input to a table first")
             n = lengths[place]
             # The i-th id of a document is at its chunk's start plus its place within the chunk.
             first = np.repeat(starts[place] - (np.cumsum(n) - n), n)
