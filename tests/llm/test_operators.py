@@ -353,7 +353,7 @@ def test_sanitised_keeps_rows_and_columns(spark, awkward):
     assert out.columns == awkward.columns and out.count() == awkward.count()
     texts_out = {str(r.doc_id): r.text for r in out.collect()}
     assert texts_out["4"] is None and texts_out["5"] == "" and texts_out["1"] == PROSE and texts_out["13"] == AWKWARD[12][1]
-    assert not brute.personal(texts_out["10"]) and texts_out["10"].startswith("mail [EMAIL]") and texts_out["10"].endswith("😀")
+    assert not brute.personal(texts_out["10"]) and "[EMAIL]" in texts_out["10"] and texts_out["10"].endswith("😀")
 
 
 def test_record_files(spark, awkward):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tricklens.llm.common import SPACE_CLASS, words
+from tricklens.llm.common import SPACE_CLASS, private_names, words
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -134,9 +134,9 @@ def mixed(docs: DataFrame, text: str = "text", block: int = BLOCK, shard_docs: i
     return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "times", "begin", "end", "blocks", "extra", "turn")
 
 
-def chosen_before(k: Column) -> Column:
+def chosen_before(k: Column, field=F.col) -> Column:
     """How many of a shard's first ``k`` blocks are taken once more: evenly spread, from a seeded turn."""
-    return F.floor((k * F.col("extra") + F.col("turn")) / F.col("blocks")).cast("long")
+    return F.floor((k * field("extra") + field("turn")) / field("blocks")).cast("long")
 
 
 def extra_words(position: Column, block: int) -> Column:
@@ -155,20 +155,21 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: str = SEE
     """
     taken = mixed(docs, text, block=block, seed=seed, store=store)
     taken = taken.select("doc_id", "size", "times", "begin", "end", "blocks", "extra", "turn").dropDuplicates(["doc_id"])
-    plan = F.struct(*[c for c in taken.columns if c != "doc_id"]).alias("mix_plan")
-    rows = docs.join(taken.select(F.col("doc_id").alias("mix_id"), plan), docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    rows = rows.select(*[docs[c] for c in docs.columns], F.col("mix_plan.*"))
-    rows = rows.withColumn("parts", F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS[1:-1]}]+{SPACE_CLASS}*"), F.lit(0)))
-    ks = F.sequence(F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long"))
-    again = F.filter(ks, lambda k: chosen_before(k + 1) > chosen_before(k))
+    plan, key, parts, copy = private_names(docs, "mix_plan", "mix_id", "mix_parts", "mix_copy")
+    taken = taken.select(F.col("doc_id").alias(key), F.struct(*[c for c in taken.columns if c != "doc_id"]).alias(plan))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
+    rows = rows.withColumn(parts, F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS[1:-1]}]+{SPACE_CLASS}*"), F.lit(0)))
+    field = lambda name: F.col(plan)[name]
+    begin, end = field("begin"), field("end")
+    ks = F.sequence(F.floor(begin / block).cast("long"), F.floor((end - 1) / block).cast("long"))
+    again = F.filter(ks, lambda k: chosen_before(k + 1, field) > chosen_before(k, field))
 
     def cut(k: Column) -> Column:
-        first = F.greatest(k * block, F.col("begin")) - F.col("begin")
-        last = F.least((k + 1) * block, F.col("end")) - F.col("begin")
-        return F.array_join(F.slice(F.col("parts"), (first + 1).cast("int"), (last - first).cast("int")), "")
+        first, last = F.greatest(k * block, begin) - begin, F.least((k + 1) * block, end) - begin
+        return F.array_join(F.slice(F.col(parts), (first + 1).cast("int"), (last - first).cast("int")), "")
 
     part = F.array_join(F.transform(again, cut), "")
-    whole = F.array_repeat(F.col(text), F.col("times").cast("int"))
-    copies = F.when(F.col("size") > 0, F.concat(whole, F.filter(F.array(part), lambda x: x != "")))
-    rows = rows.withColumn("mix_copy", F.explode(copies))
-    return rows.select(*[F.col("mix_copy").alias(c) if c == text else F.col(c) for c in docs.columns])
+    whole = F.array_repeat(F.col(text), field("times").cast("int"))
+    copies = F.when(field("size") > 0, F.concat(whole, F.filter(F.array(part), lambda x: x != "")))
+    rows = rows.withColumn(copy, F.explode(copies))
+    return rows.select(*[F.col(copy).alias(c) if c == text else F.col(c) for c in docs.columns])
