@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 CAP = 2
 BLOCK = 64  # tokens
-SHARD_DOCS = 20_000  # documents a shard holds on average: bounds the sort of one task
+SHARD_DOCS = 2_000  # documents a shard holds on average: bounds the sort of one task
 SEED = "mix"
 
 
