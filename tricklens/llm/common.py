@@ -49,6 +49,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps between its tasks: a place for models and bounded memos, never for results."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_tricklens_worker", types.ModuleType("_tricklens_worker")))
+
+
 RUN = 256  # elements summed in one go by running_sums
 
 

@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tricklens.llm.common import stored
+from tricklens.llm.common import stored, worker_state
 from tricklens.sources.scratch import fresh_path
 
 MASK_DELTA = 0xA282EAD8
-MEMO = 500_000  # chunks a task remembers before it starts afresh: bounds its memory, not its results
+RUN = 200  # new chunks encoded as one text
+MEMO = 1_500_000  # chunks a worker remembers: bounds its memory, not its results
 # Unicode's white space, as the tokenizer's pattern \s has it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
@@ -91,7 +92,15 @@ def splittable(tokenizer_json: str) -> bool:
 
 
 def token_encoder(tokenizer_json: str):
-    """text -> ids, exactly as the tokenizers library encodes the whole text without special tokens."""
+    """The worker's encoder of this tokenizer, with what it remembers from earlier tasks."""
+    state = worker_state()
+    if ("encoder", tokenizer_json) not in state:
+        state["encoder", tokenizer_json] = new_encoder(tokenizer_json)
+    return state["encoder", tokenizer_json]
+
+
+def new_encoder(tokenizer_json: str):
+    """list of texts -> list of ids, exactly as the tokenizers library encodes each whole text without special tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,20 +108,40 @@ def token_encoder(tokenizer_json: str):
 
     tokenizer = Tokenizer.from_file(tokenizer_json)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    size = tokenizer.get_vocab_size()
+    dtype = "<u2" if size <= 1 << 16 else "<u4"
     if not splittable(tokenizer_json):
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype), dtype
-    # The pattern always breaks between a character and white space after it: chunks are encoded once and remembered.
+        return lambda texts: [np.array(e.ids, dtype) for e in tokenizer.encode_batch(texts, add_special_tokens=False)], dtype
+    # The pattern always breaks between a character and white space after it, so such chunks are encoded once and
+    # remembered. A byte-level token has one character per byte, which tells a run's chunks apart again.
     find, memo = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall, {}
-
-    def encode(text: str) -> np.ndarray:
-        chunks = find(text)
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({c for c in chunks if c not in memo})
-        for c, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
+    white = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i)))
+    n_bytes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+    encode_all = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # fast: without offsets
+
+    def remember(new: list[str]) -> None:
+        # In a run, every chunk begins with white space and ends without; the few others are encoded apart.
+        runs = [c for c in new if c[0] in white and c[-1] not in white]
+        others = [c for c in new if c[0] not in white or c[-1] in white]
+        for c, e in zip(others, encode_all(others, add_special_tokens=False)):
             memo[c] = np.array(e.ids, dtype).tobytes()
-        return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype)
+        parts = [runs[lo : lo + RUN] for lo in range(0, len(runs), RUN)]
+        for part, e in zip(parts, encode_all(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype)
+            ends = np.cumsum([len(c.encode()) for c in part])
+            cuts = ((np.searchsorted(np.cumsum(n_bytes[ids]), ends) + 1) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            memo.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        lists = [find(t) for t in texts]
+        new = [c for c in set().union(*lists) if c not in memo]
+        remember(new)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype) for chunks in lists]
+        if len(memo) > MEMO:  # full: what came first, the frequent chunks, stays
+            for c in new:
+                del memo[c]
+        return out
 
     return encode, dtype
 
@@ -132,15 +161,16 @@ def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str =
         name = f"shard-{shard:07d}-{uuid.uuid4().hex}"
         out, offsets, at, n_tokens = None, [], 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if out is None:
-                    out = fs.open_output_stream(f"{base}/{name}.records")
-                ids = np.concatenate([encode(text.as_py()), end])
-                data = frame(pack(doc_id, ids))
-                out.write(data)
-                offsets.append(at)
-                at += len(data)
-                n_tokens += len(ids)
+            if out is None and batch.num_rows:
+                out = fs.open_output_stream(f"{base}/{name}.records")
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    data = frame(pack(doc_id, np.concatenate([ids, end])))
+                    out.write(data)
+                    offsets.append(at)
+                    at += len(data)
+                    n_tokens += len(ids) + 1
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{base}/{name}.index") as index:
@@ -185,6 +215,6 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     before += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # A file is a unit of work: spread them, whatever the manifest's own split.
-    spread = placed.repartition(F.col("shard"))
+    # A file is a unit of work: one partition each (the manifest has a row per file).
+    spread = placed.repartition(max(1, manifest.count()), F.col("shard"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
