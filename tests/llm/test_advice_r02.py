@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from tricklens.llm import disclosure  # noqa: E402
+from tricklens.llm import disclosure, host_paths  # noqa: E402
 from tricklens.llm.common import stored  # noqa: E402
 
 
@@ -31,3 +31,35 @@ def test_addresses_with_zero_octets(spark):
     got = {r.doc_id: brute.spelled((x.kind, x.s, x.e) for x in r.base) for r in out}
     assert got == {i: brute.spelled(brute.personal(t)) for i, t in rows}
     assert got[0] == "ip:0:8" and got[1].count("ip:") == 3 and got[2] == "ip:0:11" and got[3] == ""
+
+
+def main_texts(spark, pages):
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in host_paths.extracted(df).collect()}
+
+
+def test_words_in_other_attributes_drop_nothing(spark):
+    """'hidden' and 'id' count as whole attribute names only; headings and sections of the article keep their text."""
+    attributes = (
+        'style="overflow:hidden"', 'aria-hidden="false"', "data-hidden", 'title="hidden gem"', 'data-id="search-3"', "data-class='ad'", 'title="id=comments"',
+        'title="a hidden b" id=x', 'title=" hidden "',
+    )
+    pages = [f"<body><article {a}><h1>Head</h1><div {a}><p {a}>{'text ' * 20}</p></div></article></body>" for a in attributes]
+    inner = '<h2 id="related-work">Related work</h2><p>one</p><section id="social-impact"><p>two</p></section><section class="x" id="discussion"><h3>D</h3>three</section>'
+    pages += [f"<body><article><h1>T</h1>{inner}</article></body>", f'<body><div class="story"><h1>T</h1><p>{"long " * 60}</p>{inner}</div></body>']
+    out = main_texts(spark, pages)
+    assert [out[i] for i in range(len(attributes))] == ["Head\n\n" + " ".join(["text"] * 20)] * len(attributes)
+    assert out[len(attributes)] == "T\n\nRelated work\n\none\n\ntwo\n\nD\n\nthree"
+    assert out[len(attributes) + 1] == "T\n\n" + " ".join(["long"] * 60) + "\n\nRelated work\n\none\n\ntwo\n\nD\n\nthree"
+
+
+def test_hidden_parts_and_boilerplate_still_go(spark):
+    parts = ("<div hidden>no</div>", "<div HIDDEN=''>no</div>", "<div aria-hidden='true'>no</div>", "<div class=x hidden/>no</div>", "<div id=comments>no</div>", '<p role="navigation">no</p>')
+    aside = '<section class="comments"><p>no</p></section>'
+    out = main_texts(spark, [f"<body>{aside}<article><p>yes {'word ' * 20}</p>{p}</article>{aside}</body>" for p in parts])
+    assert set(out.values()) == {"yes " + " ".join(["word"] * 20)}
+
+
+def test_sections_of_the_body_named_like_boilerplate_go(spark):
+    out = main_texts(spark, ['<body><h1>A</h1><p>one two</p><section id="comments"><p>no</p></section></body>'])
+    assert out[0] == "A\n\none two"

@@ -37,7 +37,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# One whole attribute, as HTML reads it: a name up to white space, / or =, then perhaps a value. The first of a name counts.
+ATTRIBUTE = re.compile(r"([^\s/=>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++)))?")
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +55,7 @@ CLOSED_BY = {  # an open element of the key's kind ends where one of these start
     "th": {"td", "th", "tr", "tbody", "tfoot"},
     "tr": {"tr", "tbody", "tfoot"},
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What makes an element boilerplate: its tag, its role, or a word of its class or id.
 DROPPED_TAGS = frozenset("head nav footer aside form button select dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -73,23 +75,36 @@ RANKED = 16  # paths of a host that pass two knows; beyond them a page's own bes
 
 
 class Block:
-    """One run of text: its container path, its text, how much of it is links, and whether it is a top heading."""
+    """One run of text: its container path, its text, how much of it is links, and whether it is a top heading.
 
-    __slots__ = ("path", "text", "linked", "heading")
+    ``section`` is the path of the outermost section around it that is named like boilerplate: the block
+    belongs to a container around that section, and to nothing else.
+    """
 
-    def __init__(self, path: str, text: str, linked: int, heading: bool):
-        self.path, self.text, self.linked, self.heading = path, text, linked, heading
+    __slots__ = ("path", "text", "linked", "heading", "section")
+
+    def __init__(self, path: str, text: str, linked: int, heading: bool, section: str):
+        self.path, self.text, self.linked, self.heading, self.section = path, text, linked, heading, section
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def dropped(tag: str, at: dict[str, str], in_article: bool) -> bool:
-    if tag in DROPPED_TAGS or (tag == "header" and not in_article) or "hidden" in at or at.get("role", "").lower() in DROPPED_ROLES:
+    if tag in DROPPED_TAGS or (tag == "header" and not in_article) or at.get("role", "").strip().lower() in DROPPED_ROLES:
+        return True
+    if "hidden" in at or at.get("aria-hidden", "").strip().lower() == "true":
         return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+    # Words of names tell boilerplate containers; a heading or a section of the article may be called anything.
+    return tag not in ("html", "body", "article", "main", "section") and tag not in HEADINGS and named(at)
+
+
+def named(at: dict[str, str]) -> bool:
+    """Whether a word of the class or id names boilerplate."""
     return any(w.lower() in DROPPED_WORDS for w in WORD.findall(f"{at.get('class', '')} {at.get('id', '')}"))
 
 
@@ -101,7 +116,7 @@ def step(tag: str, at: dict[str, str]) -> str:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, boilerplate left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, path if a container, whether dropped
+    stack: list[tuple[str, str | None, bool, str]] = []  # tag, path if a container, whether dropped, section named like boilerplate
     text: list[str] = []
     linked = depth_a = 0
 
@@ -110,8 +125,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                path = next((p for _, p, _ in reversed(stack) if p), "body")
-                found.append(Block(path, words, min(linked, len(words)), bool(stack) and stack[-1][0] == "h1"))
+                path = next((p for _, p, _, _ in reversed(stack) if p), "body")
+                found.append(Block(path, words, min(linked, len(words)), bool(stack) and stack[-1][0] == "h1", stack[-1][3] if stack else ""))
             text.clear()
         linked = 0
 
@@ -138,7 +153,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
         elif m[2]:  # an end tag closes the nearest open element of its kind, and all within it
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, _, _, _ in stack):
                 flush()
                 while stack.pop()[0] != tag:
                     pass
@@ -147,7 +162,7 @@ def blocks(page: str) -> list[Block]:
             flush()
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
-            inside = next((p for _, p, _ in reversed(stack) if p), "")
+            inside = next((p for _, p, _, _ in reversed(stack) if p), "")
             attrs = attributes(m[4]) if m[4] else {}
             out = bool(stack) and stack[-1][2] or dropped(tag, attrs, "/article" in inside)
             if tag == "body":
@@ -156,7 +171,10 @@ def blocks(page: str) -> list[Block]:
             path = None
             if tag in CONTAINERS and tag != "html":
                 path = f"{inside or 'body'}/{step(tag, attrs)}" if tag != "body" else "body"
-            stack.append((tag, path, out))
+            section = stack[-1][3] if stack else ""
+            if tag == "section" and not section and "/article" not in inside and named(attrs):
+                section = path
+            stack.append((tag, path, out, section))
             depth_a = 0
     say(page[at:])
     flush()
@@ -167,6 +185,7 @@ def best_path(found: list[Block]) -> str | None:
     """The container that holds the page's own text: from the body down, while one child holds nearly all of it."""
     score: dict[str, int] = {}
     headings: dict[str, int] = {}
+    found = [b for b in found if not b.section]
     for b in found:
         parts = b.path.split("/")
         for i in range(1, len(parts) + 1):
@@ -186,7 +205,9 @@ def best_path(found: list[Block]) -> str | None:
 
 
 def under(found: list[Block], path: str) -> list[Block]:
-    return [b for b in found if b.path == path or b.path.startswith(path + "/")]
+    """The blocks of a container; those of a section named like boilerplate only if the container is around it and not the body."""
+    inside = path + "/"
+    return [b for b in found if (b.section.startswith(inside) and path != "body" if b.section else b.path == path or b.path.startswith(inside))]
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
