@@ -63,3 +63,19 @@ def test_hidden_parts_and_boilerplate_still_go(spark):
 def test_sections_of_the_body_named_like_boilerplate_go(spark):
     out = main_texts(spark, ['<body><h1>A</h1><p>one two</p><section id="comments"><p>no</p></section></body>'])
     assert out[0] == "A\n\none two"
+
+
+def test_a_path_of_any_rank_is_found(spark):
+    """A page whose template ranks far behind is read by its template's container, as its other pages voted."""
+    body = '<body><div class="story-{k}x"><p>{t}</p></div><div class="teaser-{k}x"><p>{u}</p></div></body>'
+    names = ["".join(chr(97 + int(c)) for c in f"{k:03d}") for k in range(40)]
+    pages = []
+    for k, name in enumerate(names):
+        pages += [body.format(k=name, t=f"story {name} {i} " * 30, u="more") for i in range(44 - k)]
+        pages.append(body.format(k=name, t="short story", u="buy this " * 60))
+    pages.append(pages[-1])
+    out = main_texts(spark, pages)
+    odd = [i for i, p in enumerate(pages) if "short story" in p]
+    assert len(odd) == 41 and {out[i] for i in odd} == {"short story"}
+    assert all(out[i].startswith("story ") for i in range(len(pages)) if i not in odd)
+    assert host_paths.own_paths(host_paths.blocks(pages[0])) >= {"body", "body/div.story-aaax", "body/div.teaser-aaax"}

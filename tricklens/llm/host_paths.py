@@ -19,6 +19,7 @@ pass through.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -71,7 +72,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LEVELLED = re.compile(r"[0-9a-f]{8,}|\d+", re.I)
 
 DESCEND = 0.7  # share of the text that a container must hold for its parent to give way
-RANKED = 16  # paths of a host that pass two knows; beyond them a page's own best container serves
+RANKED = 16  # paths of a host that every task of pass two knows; pages with none of them get their path by a join
 
 
 class Block:
@@ -210,26 +211,58 @@ def under(found: list[Block], path: str) -> list[Block]:
     return [b for b in found if (b.section.startswith(inside) and path != "body" if b.section else b.path == path or b.path.startswith(inside))]
 
 
+def own_paths(found: list[Block]) -> set[str]:
+    """All containers that hold a block of the page."""
+    out: set[str] = set()
+    for b in found:
+        path = b.path if not b.section else b.section.rpartition("/")[0]
+        while path and path not in out and not (b.section and path == "body"):
+            out.add(path)
+            path = path.rpartition("/")[0]
+    return out
+
+
+def digest(path: str) -> bytes:
+    return hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+VOTES = "host string, page string, path string, chars long, own array<binary>"
+
+
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, chars = [], [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+        out = ([], [], [], [], [])
+        for host, name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found = blocks(page.as_py())
             path = best_path(found)
             if path is not None:
-                hosts.append(host)
-                paths.append(path)
-                chars.append(sum(len(b.text) for b in under(found, path)))
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "chars": pa.array(chars, pa.int64())})
+                row = (host, name, path, sum(len(b.text) for b in under(found, path)), [digest(p) for p in own_paths(found)])
+                for column, value in zip(out, row):
+                    column.append(value)
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "page", "path", "chars", "own"])
 
 
 def ranked_paths(voted: DataFrame) -> DataFrame:
-    """(host, paths): each host's paths by pages that voted for them, at most ``RANKED``."""
+    """(host, path, rank): each host's paths by pages that voted for them."""
     tally = voted.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
     order = W.partitionBy("host").orderBy(F.desc("pages"), F.desc("chars"), "path")
-    top = tally.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= RANKED)
-    listed = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
-    return listed.select("host", F.col("ranked.path").alias("paths"))
+    return tally.withColumn("rank", F.row_number().over(order))
+
+
+def late_paths(voted: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(late_host, late_page, late_path) of the pages whose highest ranked path comes after their host's first ``RANKED``."""
+    many = ranked.where(F.col("rank") == RANKED + 1).select("host")
+    own = voted.join(many, "host", "left_semi").select("host", "page", F.explode("own").alias("key")).distinct()
+    known = ranked.join(many, "host", "left_semi").select("host", "path", "rank").mapInArrow(with_digests, "host string, key binary, path string, rank int")
+    best = own.join(known, ["host", "key"]).groupBy("host", "page").agg(F.min(F.struct("rank", "path")).alias("best"))
+    return best.where(F.col("best.rank") > RANKED).select(F.col("host").alias("late_host"), F.col("page").alias("late_page"), F.col("best.path").alias("late_path"))
+
+
+def with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array(map(digest, batch.column("path").to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), keys, batch.column("path"), batch.column("rank")], ["host", "key", "path", "rank"])
 
 
 def main_text(page: str, paths: list[str]) -> str:
@@ -243,13 +276,24 @@ def main_text(page: str, paths: list[str]) -> str:
 
 def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` without their html, with ``text`` (its main text) and ``n_chars`` (its code points)."""
-    host, paths = private_names(pages, "host_", "paths_")
+    host, paths, late = private_names(pages, "host_", "paths_", "late_")
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     hosted = pages.withColumn(host, name).withColumn(html, F.coalesce(F.col(html), F.lit("")))
-    voted = hosted.select(host, html).mapInArrow(votes, "host string, path string, chars long")
+    page = F.sha2(F.col(html), 256)
+    voted = stored(hosted.select(host, page.alias("page"), html).mapInArrow(votes, VOTES), "page-votes")
+    ranked = stored(ranked_paths(voted), "ranked-paths")
+    listed = ranked.where(F.col("rank") <= RANKED).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
     # Written once: its true size lets Spark broadcast a short list and split a hot host of a long one.
-    winners = stored(ranked_paths(voted), "host-paths").withColumnsRenamed({"host": f"{host}w", "paths": paths})
-    joined = hosted.join(winners, F.col(host) == F.col(f"{host}w"), "left").drop(f"{host}w", host)
+    winners = stored(listed.select("host", F.col("ranked.path").alias("paths")), "host-paths").withColumnsRenamed({"host": f"{host}w", "paths": paths})
+    joined = hosted.join(winners, F.col(host) == F.col(f"{host}w"), "left").drop(f"{host}w")
+    # Few pages have none of their host's first paths; only they, if any, move to their own path.
+    others = stored(late_paths(voted, ranked), "late-paths").withColumnsRenamed({c: f"{late}{c}" for c in ("late_host", "late_page", "late_path")})
+    if others.isEmpty():
+        joined = joined.drop(host)
+    else:
+        joined = joined.join(others, (F.col(host) == F.col(f"{late}late_host")) & (page == F.col(f"{late}late_page")), "left")
+        one = F.when(F.col(f"{late}late_path").isNotNull(), F.array(f"{late}late_path")).otherwise(F.col(paths))
+        joined = joined.withColumn(paths, one).drop(host, *others.columns)
     kept = [f for f in pages.schema if f.name not in (html, "text", "n_chars")]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "`text` string", "`n_chars` long"])
 
