@@ -5,16 +5,22 @@ from __future__ import annotations
 import os
 import random
 import sys
+import zlib
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from tricklens.llm import disclosure, host_paths  # noqa: E402
+from tricklens.llm import disclosure, host_paths, queries, record_files  # noqa: E402
 from tricklens.llm.common import stored  # noqa: E402
 
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def keep(df):
     return stored(df, "test")
@@ -79,3 +85,17 @@ def test_a_path_of_any_rank_is_found(spark):
     assert len(odd) == 41 and {out[i] for i in odd} == {"short story"}
     assert all(out[i].startswith("story ") for i in range(len(pages)) if i not in odd)
     assert host_paths.own_paths(host_paths.blocks(pages[0])) >= {"body", "body/div.story-aaax", "body/div.teaser-aaax"}
+
+
+def test_record_files_encode_as_the_plain_library_call(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(BYTES)
+    rows = [(0, "a <|endoftext|> b"), (1, "plain text"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>y  z <|endoftext"), (4, None), (5, "plain text |> b")]
+    folder = str(tmp_path)
+    os.mkdir(f"{folder}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"file://{folder}/documents.parquet")
+    start = 0
+    for r, (i, text) in zip(sorted(queries.op7_record_files(spark, f"file://{folder}").collect(), key=lambda r: r.doc_id), rows):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert record_files.token_encoder(BYTES, False)[0](["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]

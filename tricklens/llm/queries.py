@@ -98,7 +98,7 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return record_files.read_records(record_files.write_records(docs, public_tokenizers.path(BYTES), end_id=0))
+    return record_files.read_records(record_files.write_records(docs, public_tokenizers.path(BYTES), end_id=0, special_as_text=False))
 
 
 def op8_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:

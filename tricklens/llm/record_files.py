@@ -91,30 +91,37 @@ def splittable(tokenizer_json: str) -> bool:
     return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
-def token_encoder(tokenizer_json: str):
+def token_encoder(tokenizer_json: str, special_as_text: bool = True):
     """The worker's encoder of this tokenizer, with what it remembers from earlier tasks."""
-    state = worker_state()
-    if ("encoder", tokenizer_json) not in state:
-        state["encoder", tokenizer_json] = new_encoder(tokenizer_json)
-    return state["encoder", tokenizer_json]
+    state, key = worker_state(), ("encoder", tokenizer_json, special_as_text)
+    if key not in state:
+        state[key] = new_encoder(tokenizer_json, special_as_text)
+    return state[key]
 
 
-def new_encoder(tokenizer_json: str):
-    """list of texts -> list of ids, exactly as the tokenizers library encodes each whole text without special tokens."""
+def new_encoder(tokenizer_json: str, special_as_text: bool = True):
+    """list of texts -> list of ids, exactly as the tokenizers library encodes each whole text with ``add_special_tokens=False``.
+
+    ``special_as_text`` is the library's ``encode_special_tokens``, which it leaves off: with it, the string of
+    a special token inside a text is ordinary text; without it, the string is that token.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_json)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = special_as_text
     size = tokenizer.get_vocab_size()
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    if not splittable(tokenizer_json):
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
+    if not splittable(tokenizer_json) or any(re.search(f"[{WHITE}]", a) for a in added):
         return lambda texts: [np.array(e.ids, dtype) for e in tokenizer.encode_batch(texts, add_special_tokens=False)], dtype
     # The pattern always breaks between a character and white space after it, so such chunks are encoded once and
     # remembered. A byte-level token has one character per byte, which tells a run's chunks apart again.
     find, memo = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall, {}
+    # The library first cuts a text at the strings of added tokens: texts that hold one are encoded whole.
+    holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
     white = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i)))
     n_bytes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
     encode_all = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # fast: without offsets
@@ -134,10 +141,11 @@ def new_encoder(tokenizer_json: str):
             memo.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        lists = [find(t) for t in texts]
+        whole = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype) for i, t in enumerate(texts) if holds_added(t)}
+        lists = [() if i in whole else find(t) for i, t in enumerate(texts)]
         new = [c for c in set().union(*lists) if c not in memo]
         remember(new)
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype) for chunks in lists]
+        out = [whole[i] if i in whole else np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype) for i, chunks in enumerate(lists)]
         if len(memo) > MEMO:  # full: what came first, the frequent chunks, stays
             for c in new:
                 del memo[c]
@@ -146,14 +154,14 @@ def new_encoder(tokenizer_json: str):
     return encode, dtype
 
 
-def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", folder: str | None = None) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", folder: str | None = None, special_as_text: bool = True) -> DataFrame:
     """Writes shards and their indexes; returns the stored manifest (shard, path, n_docs, n_tokens)."""
     folder = folder or fresh_path(docs.sparkSession, "token-records")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, dtype = token_encoder(tokenizer_json)
+        encode, dtype = token_encoder(tokenizer_json, special_as_text)
         end = np.array([end_id], dtype)
         shard = TaskContext.get().partitionId()
         fs, base = open_fs(folder)
