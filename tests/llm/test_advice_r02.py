@@ -99,3 +99,16 @@ def test_record_files_encode_as_the_plain_library_call(spark, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert record_files.token_encoder(BYTES, False)[0](["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+def test_disclosing_terms_far_from_the_address(spark):
+    """A name at the head and an address at the end: every mention of the name goes, common words and other documents stay."""
+    common = "the quick report was sent by mail to all of the staff on monday "
+    docs = [(i, f"Zebulon wrote. {common * 3}zebulon again. {common * 3} zeb@site.example") for i in range(3)]
+    docs += [(10 + i, common * 2) for i in range(40)] + [(99, "zebulon without an address stays"), (100, f"once only {common} one@other.example")]
+    docs.append((None, docs[0][1]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in disclosure.sanitised(df, "text", keep).collect()}
+    for i in (0, 1, 2, None):
+        assert "zebulon" not in out[i].lower() and out[i].startswith("[NAME]") and out[i].count(common.strip()) == 6 and out[i].endswith("[EMAIL]")
+    assert out[99] == "zebulon without an address stays" and out[10] == common * 2 and out[100] == f"once only {common} [EMAIL]"
