@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from tricklens.llm import disclosure, host_paths, queries, record_files  # noqa: E402
+from tricklens.llm import disclosure, host_paths, queries, record_files, sorted_passes  # noqa: E402
 from tricklens.llm.common import stored  # noqa: E402
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -112,3 +112,21 @@ def test_disclosing_terms_far_from_the_address(spark):
     for i in (0, 1, 2, None):
         assert "zebulon" not in out[i].lower() and out[i].startswith("[NAME]") and out[i].count(common.strip()) == 6 and out[i].endswith("[EMAIL]")
     assert out[99] == "zebulon without an address stays" and out[10] == common * 2 and out[100] == f"once only {common} [EMAIL]"
+
+
+def test_near_vectors_of_a_narrow_cone(spark, monkeypatch):
+    """Vectors of one label at cosine 0.94 to each other need more passes than evenly spread ones; all planted pairs at 0.981 are found."""
+    ran, keyed = [], sorted_passes.keyed
+    monkeypatch.setattr(sorted_passes, "keyed", lambda first, passes, *rest: (ran.append(passes), keyed(first, passes, *rest))[1])
+    rng = np.random.default_rng(3)
+    n, dim, planted = 1500, 64, 100
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    near = unit(np.sqrt(0.94) * unit(rng.standard_normal(dim)) + np.sqrt(0.06) * unit(rng.standard_normal((n, dim))))
+    aside = rng.standard_normal((planted, dim))
+    aside = unit(aside - (aside * near[:planted]).sum(axis=1, keepdims=True) * near[:planted])
+    vectors = np.concatenate([near, 0.981 * near[:planted] + np.sqrt(1 - 0.981**2) * aside])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    out = sorted_passes.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=8).collect()
+    links = vectors @ vectors.T >= 0.98
+    assert {r.vec_id: r.n_links for r in out} == {i: int(k) - 1 for i, k in enumerate(links.sum(axis=1))}
+    assert sum(ran) > 2 * sorted_passes.passes_for(len(rows), 0.98, 8, sorted_passes.MISS)

@@ -8,9 +8,15 @@ into components. Every link lies within a component, so each component's
 vectors are then compared with each other, in blocks, and only counts leave a
 block: windows decide what connects, no cap decides how many links count.
 
-The number of passes follows from the largest label: a pair at the threshold
-agrees on the bits that separate a window from the rest with a known chance,
-and passes repeat until missing it in all of them is less likely than ``MISS``.
+The number of passes follows from the data. The first passes suit vectors that
+spread evenly. Beside its links, every vector then tells per pass how many key
+bits part it from the vector at its window's end, and with which chance a
+vector at the threshold, in a random direction, shares these bits under that
+pass's own planes. Labels go on until every vector's chance to be missed is
+under ``MISS``, and until two batches in a row unite nothing new. Where a
+window ends within the vector's own component, the pass tells nothing of it and
+counts as the vector's others do; if all its windows do, the second condition
+alone decides. It stays a chance, not a proof: linked vectors may lie otherwise.
 
 Equal vectors are one class, compared once and counted as often as they occur.
 
@@ -42,6 +48,9 @@ MISS = 1e-7
 SEED = 20
 BLOCK = 1024  # vectors on a side of a counting block
 CHUNK = 8192  # sorted rows compared at once
+QUIET = 2  # batches in a row that must unite nothing new
+NORMAL_AT = np.linspace(0, 6, 60_001)
+NORMAL_LOG = np.log([0.5 * math.erfc(-z / math.sqrt(2)) for z in NORMAL_AT])
 
 
 def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,27 +74,28 @@ def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def passes_for(largest: int, threshold: float, window: int, miss: float) -> int:
-    """Passes until a pair at the threshold is missed in all of them with a chance under ``miss``."""
+    """First passes: enough if the vectors of the largest label spread evenly."""
     bits = max(1.0, math.log2(max(2, largest) / window) + 1)
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     # One neighbour in ten may sit behind a partition's edge.
     return max(4, math.ceil(math.log(miss) / math.log(1 - 0.9 * agree)))
 
 
-def keyed(passes: int, bits: int, seed: int):
+def planes_of(seed: int, dim: int, p: int, bits: int = KEY_BITS) -> np.ndarray:
+    return np.random.default_rng([seed, dim, p]).standard_normal((dim, bits))
+
+
+def keyed(first: int, passes: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             units = batch.column("unit").to_pylist()
             size = np.array([len(u) // 8 for u in units])
             for dim in np.unique(size):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
                 own = np.flatnonzero(size == dim)
                 X = np.frombuffer(b"".join(units[i] for i in own), np.float64).reshape(-1, dim)
                 part = batch.take(pa.array(own))
-                for p in range(passes):
-                    key = np.packbits(X @ planes[dim][:, p * bits : (p + 1) * bits] > 0, axis=1)
+                for p in range(first, first + passes):
+                    key = np.packbits(X @ planes_of(seed, int(dim), p, bits) > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([p] * len(own), pa.int32()), part.column("label"), pa.array([int(dim)] * len(own), pa.int32()),
                          pa.array([k.tobytes() for k in key], pa.binary()), part.column("node"), part.column("unit")],
@@ -95,8 +105,21 @@ def keyed(passes: int, bits: int, seed: int):
     return run
 
 
-def neighbours(threshold: float, window: int):
-    """Links (a, b) that unite all verified pairs of sorted rows: at most one a row."""
+def found_chance(unit: np.ndarray, planes: np.ndarray, threshold: float, bits: np.ndarray) -> np.ndarray:
+    """Chance that a vector at the threshold from each row, in a random direction, shares its first ``bits`` key bits."""
+    dim = unit.shape[1]
+    margin = np.abs(unit @ planes) / np.sqrt((planes**2).sum(axis=0))
+    spread = np.sqrt(np.maximum((1 - margin**2) * (1 - threshold**2) / max(1, dim - 1), 1e-300))
+    z = np.minimum(threshold * margin / spread, 6.0)
+    # The normal distribution function, by a table: 1e-4 is far finer than needed.
+    agree = np.interp(z, NORMAL_AT, NORMAL_LOG)
+    along = np.concatenate([np.zeros((len(unit), 1)), np.cumsum(agree, axis=1)], axis=1)
+    return np.exp(along[np.arange(len(unit)), np.minimum(bits, planes.shape[1])])
+
+
+def neighbours(threshold: float, window: int, seed: int):
+    """Rows (a, b, miss): links that unite all verified pairs of sorted rows, at most one a row (miss null); and for each
+    vector the logarithm of its chance to be missed by this pass (b null), where its window ends at a vector not united with it."""
 
     def links(group: np.ndarray, node: np.ndarray, X: np.ndarray) -> tuple[list, list]:
         up = np.arange(len(node))
@@ -117,35 +140,56 @@ def neighbours(threshold: float, window: int):
             while (up[up] != up).any():
                 up = up[up]
         moved = np.flatnonzero(up != np.arange(len(up)))
-        return node[moved].tolist(), node[up[moved]].tolist()
+        return node[moved].tolist(), node[up[moved]].tolist(), up
+
+    def misses(passes: np.ndarray, group: np.ndarray, X: np.ndarray, up: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose window is known here, and the logarithm of their chance to be missed."""
+        n = len(group)
+        rows = np.arange(n if last else max(0, n - window))
+        end = np.minimum(rows + window, n - 1)
+        same = (group[rows] == group[end]) & (rows + window < n)  # else the window holds all that follows in the group
+        told = np.flatnonzero(~same | (up[rows] != up[end]))
+        bits, chance = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for p in np.unique(passes[rows]):
+            planes = planes_of(seed, X.shape[1], int(p))
+            own = rows[passes[rows] == p]
+            here = X[own] @ planes > 0
+            differs = here != (X[end[own]] @ planes > 0)
+            bits[own] = np.where(same[own], np.where(differs.any(axis=1), differs.argmax(axis=1) + 1, planes.shape[1]), 0)
+            chance[own] = found_chance(X[own], planes, threshold, bits[own])
+        # One neighbour in ten may sit behind a partition's edge.
+        return told, np.log1p(-0.9 * chance[told])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         names: dict[tuple, int] = {}
 
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            a, b = [], []
+        def done(rows: list[tuple], last: bool) -> pa.RecordBatch:
+            a, b, miss = [], [], []
             lo = 0
             while lo < len(rows):  # one vector length at a time
                 hi = lo
                 while hi < len(rows) and len(rows[hi][2]) == len(rows[lo][2]):
                     hi += 1
                 X = np.frombuffer(b"".join(r[2] for r in rows[lo:hi]), np.float64).reshape(hi - lo, -1)
-                x, y = links(np.array([r[0] for r in rows[lo:hi]]), np.array([r[1] for r in rows[lo:hi]], np.int64), X)
-                a += x
-                b += y
+                group, node = np.array([r[0] for r in rows[lo:hi]]), np.array([r[1] for r in rows[lo:hi]], np.int64)
+                x, y, up = links(group, node, X)
+                told, chance = misses(np.array([r[3] for r in rows[lo:hi]]), group, X, up, last or hi < len(rows))
+                a += x + node[told].tolist()
+                b += y + [None] * len(told)
+                miss += [None] * len(x) + chance.tolist()
                 lo = hi
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "miss": pa.array(miss, pa.float64())})
 
         for batch in batches:
             groups = zip(*(batch.column(c).to_pylist() for c in ("pass", "label", "dim")))
             for g, node, unit in zip(groups, batch.column("node").to_pylist(), batch.column("unit").to_pylist()):
-                held.append((names.setdefault(g, len(names)), node, unit))
+                held.append((names.setdefault(g, len(names)), node, unit, g[0]))
             if len(held) >= CHUNK:
-                yield done(held)
+                yield done(held, False)
                 held = held[-window:]  # the next rows' neighbours
         if held:
-            yield done(held)
+            yield done(held, True)
 
     return run
 
@@ -174,6 +218,50 @@ def counted(threshold: float):
     return run
 
 
+def connected(classes: DataFrame, passes: int, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
+    """(node, component) of all classes with a link: batches of passes until no label needs more."""
+    open_rows, first, found, edges, chances, quiet = classes, 0, None, None, None, None
+    while True:
+        sorted_rows = (
+            open_rows.mapInArrow(keyed(first, passes, KEY_BITS, seed), "pass int, label string, dim int, key binary, node long, unit binary")
+            .repartitionByRange("pass", "dim", "label", "key")
+            .sortWithinPartitions("pass", "dim", "label", "key", "node")
+        )
+        told = stored(sorted_rows.mapInArrow(neighbours(threshold, window, seed), "a long, b long, miss double"), "passes")
+        links = told.where(F.col("b").isNotNull()).select("a", "b")
+        new = told.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("miss").alias("miss"), F.count("*").alias("told"))
+        if found is None:
+            fresh = links
+        else:  # only what joins two components is new
+            place = lambda c: found.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_in"))
+            fresh = links.join(place("a"), F.col("a") == F.col("a_node"), "left").join(place("b"), F.col("b") == F.col("b_node"), "left")
+            fresh = fresh.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).where("a <> b")
+        fresh = stored(fresh.distinct(), "new-links")
+        edges = fresh if edges is None else edges.unionByName(fresh)
+        found = components(edges)
+        both = new if chances is None else chances.unionByName(new).groupBy("node").agg(F.sum("miss").alias("miss"), F.sum("told").alias("told"))
+        chances = stored(both, "miss-chances")
+        first += passes
+        united = fresh.select(F.col("a").alias("node")).distinct().join(classes.select("node", "label"), "node").select("label").distinct()
+        worst = classes.select("node", "label").join(chances, "node", "left").groupBy("label").agg(F.max(F.col("miss") / F.col("told") * first).alias("worst"))
+        state = worst.join(united.withColumn("new", F.lit(True)), "label", "left")
+        if quiet is not None:
+            state = quiet.select("label", F.col("still").alias("before")).join(state, "label")
+        else:
+            state = state.withColumn("before", F.lit(0))
+        # The first batch unites something in any case that matters, so it counts as quiet only if it united nothing.
+        state = state.withColumn("still", F.when(F.col("new"), 0).otherwise(F.col("before") + 1))
+        todo = (F.col("worst") > math.log(miss)) | (F.col("still") < QUIET)
+        quiet = stored(state.where(todo).select("label", "still", "worst"), "open-labels")
+        need = quiet.agg(F.count("*").alias("n"), F.max("worst").alias("worst")).first()
+        if not need.n:
+            return found
+        # As many more as the worst vector lacks at its rate so far, but at most as many as there were, then measured anew.
+        lacks = first * math.log(miss) / need.worst - first if need.worst is not None and need.worst < 0 else first
+        passes = max(4, min(first, math.ceil(lacks)))
+        open_rows = classes.join(quiet.select("label"), "label", "left_semi").select(*classes.columns)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
@@ -185,12 +273,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     )
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     passes = passes_for(largest, threshold, window, miss)
-    sorted_rows = (
-        classes.mapInArrow(keyed(passes, KEY_BITS, seed), "pass int, label string, dim int, key binary, node long, unit binary")
-        .repartitionByRange("pass", "dim", "label", "key")
-        .sortWithinPartitions("pass", "dim", "label", "key", "node")
-    )
-    found = components(sorted_rows.mapInArrow(neighbours(threshold, window), "a long, b long"))
+    found = connected(classes, passes, threshold, window, miss, seed)
     members = stored(classes.join(found, "node").select("component", "node", "copies", "unit"), "vector-components")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
