@@ -219,6 +219,71 @@ def op10() -> str:
     return f"WITH spans AS ({spans})\n{digests(('assign', 'access', 'hex'), 's, rank', 3)}"
 
 
+def op11() -> str:
+    return r"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+hosts AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS h FROM rest),
+paths AS (SELECT *, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+parts AS (SELECT page_id, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(r, length(h) + length(path) + 1), '^\?[^#]*') AS query FROM paths),
+sites(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+globs(verdict, pat, n, re) AS (VALUES
+  ('block', '*spam-*/**', 6, '[^/]*spam-[^/]*/.*'), ('block', '*cheap-*/**', 7, '[^/]*cheap-[^/]*/.*'), ('block', '*casino*/**', 7, '[^/]*casino[^/]*/.*'),
+  ('block', '*-bets*/**', 6, '[^/]*-bets[^/]*/.*'), ('block', '**/login**', 6, '.*/login.*'), ('block', '**/wp-admin/**', 10, '.*/wp-admin/.*'),
+  ('block', '**/cart/**', 6, '.*/cart/.*'), ('block', '**.exe', 4, '.*\.exe'), ('block', '**.zip', 4, '.*\.zip'),
+  ('block', '**\?**session*=**', 9, '.*\?.*session[^/]*=.*'), ('allow', '*.edu/**', 5, '[^/]*\.edu/.*'), ('allow', 'm.*/en/??.html', 13, 'm\.[^/]*/en/[^/][^/]\.html')),
+by_site AS (SELECT DISTINCT host, path, h || p AS rule, verdict FROM (SELECT DISTINCT host, path FROM parts), sites
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(h || p) DESC, verdict DESC, h || p) = 1),
+by_glob AS (SELECT DISTINCT host, path, query, pat, verdict FROM (SELECT DISTINCT host, path, query FROM parts), globs
+  WHERE regexp_full_match(host || path || query, re, 's')
+  QUALIFY row_number() OVER (PARTITION BY host, path, query ORDER BY n DESC, verdict DESC, pat) = 1)
+SELECT page_id, host, path, rule, pat AS "glob", coalesce(s.verdict, g.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN by_site s USING (host, path) LEFT JOIN by_glob g USING (host, path, query)"""
+
+
+def op12() -> str:
+    garbled = "h % 97 = 0"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+    return f"""
+WITH RECURSIVE crcs AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc_table
+  FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS raw FROM documents),
+lowered AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+spelled AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS bytes
+  FROM lowered WHERE length(run) >= 5),
+hashed AS (SELECT run, n, {crc} AS h FROM spelled, crcs),
+garbled AS (SELECT CASE WHEN {garbled} THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM garbled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+counted AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+best AS (SELECT word, near, near_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+formed AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN counted USING (word) LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here FROM formed UNION SELECT walk.word, form FROM walk JOIN formed ON here = formed.word WHERE form IS NOT NULL),
+roots AS (SELECT walk.word, here AS root FROM walk JOIN formed ON here = formed.word WHERE form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM formed JOIN roots USING (word)"""
+
+
+def op13() -> str:
+    return """
+WITH r AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {
         "op1_quality_rules": op1(),
@@ -228,4 +293,7 @@ def llm_oracle() -> dict[str, str]:
         "op8_sorted_passes": op8(),
         "op9_sainte_lague_mix": op9(),
         "op10_blob_ledger": op10(),
+        "op11_url_automaton": op11(),
+        "op12_chunk_variants": op12(),
+        "op13_cover_tree": op13(),
     }

@@ -11,7 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tricklens.llm import apportion, blob_ledger, chunk_table, coordinate_join, disclosure, host_paths, quality_rules, record_files, reply_trees, sorted_passes
+from tricklens.llm import (
+    apportion,
+    blob_ledger,
+    chunk_table,
+    chunk_variants,
+    coordinate_join,
+    cover_tree,
+    disclosure,
+    host_paths,
+    quality_rules,
+    record_files,
+    reply_trees,
+    sorted_passes,
+    url_automaton,
+)
 from tricklens.llm.common import spelled, stored, table
 from tricklens.sources.scratch import fresh_path
 
@@ -124,6 +138,27 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = url_automaton.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", *[F.col(names[c]).alias(c) for c in ("host", "path", "rule", "glob", "verdict")])
+
+
+#: Every 97th occurrence (by checksum) is misspelled, so that there are variants to find.
+GARBLE = 97
+
+
+def op12_chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_variants.variants(chunk_variants.word_counts(docs, garble=GARBLE), lambda df: stored(df, "variants"))
+
+
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    # Some labels are wrong on purpose, so that near rows of other labels exist.
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return cover_tree.hard_negatives(cover_tree.usable(relabelled), F.col("vec_id") % 100 == 0, lambda df: stored(df, "cover-tree"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -136,4 +171,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sorted_passes": op8_sorted_passes,
         "op9_sainte_lague_mix": op9_sainte_lague_mix,
         "op10_blob_ledger": op10_blob_ledger,
+        "op11_url_automaton": op11_url_automaton,
+        "op12_chunk_variants": op12_chunk_variants,
+        "op13_cover_tree": op13_cover_tree,
     }
