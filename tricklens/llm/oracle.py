@@ -19,24 +19,27 @@ comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
 
 
 def op1() -> str:
-    rules = 6
-    start_good, start_bad = [0.99] * rules, [0.25] * rules
-
-    def posterior(v: str, prior: str, good: str, bad: str) -> str:
-        g, b = prior, f"(1.0::DOUBLE - {prior})"
-        for r in range(1, rules + 1):
-            g = f"({g} * CASE {v}[{r}] WHEN 1 THEN {good}[{r}] WHEN -1 THEN 1.0::DOUBLE - {good}[{r}] ELSE 1.0::DOUBLE END)"
-            b = f"({b} * CASE {v}[{r}] WHEN 1 THEN 1.0::DOUBLE - {bad}[{r}] WHEN -1 THEN {bad}[{r}] ELSE 1.0::DOUBLE END)"
-        return f"({g} / ({g} + {b}))"
-
-    def rate(r: int, says: int, first: float, lo: float, hi: float, weight: str) -> str:
-        agree = f"list_sum(list_transform(e, lambda x: CASE WHEN x.v[{r}] = {says} THEN x.n * {weight} ELSE 0.0::DOUBLE END))"
-        spoke = f"list_sum(list_transform(e, lambda x: CASE WHEN x.v[{r}] <> 0 THEN x.n * {weight} ELSE 0.0::DOUBLE END))"
-        return f"least(greatest(({agree} + {first}::DOUBLE) / ({spoke} + 1.0::DOUBLE), {lo}::DOUBLE), {hi}::DOUBLE)"
-
-    good = ", ".join(rate(r, 1, 0.99, 0.99, 0.999, "x.q") for r in range(1, rules + 1))
-    bad = ", ".join(rate(r, -1, 0.25, 0.02, 0.5, "(1.0::DOUBLE - x.q)") for r in range(1, rules + 1))
-    share = "list_sum(list_transform(e, lambda x: x.n * x.q)) / list_sum(list_transform(e, lambda x: x.n))"
+    # Classes: good, marked up, repetitive, ill-formed. Rules: symbols, marked, lines, repeats, variety, lengths, shouting, endings.
+    shares = "[0.8, 0.2 / 3, 0.2 / 3, 0.2 / 3]::DOUBLE[]"
+    rates = """[[0.95, 0.95, 0.95, 0.95, 0.95, 0.95, 0.95, 0.95], [0.4, 0.4, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9],
+      [0.9, 0.9, 0.4, 0.4, 0.4, 0.9, 0.9, 0.9], [0.9, 0.9, 0.9, 0.9, 0.9, 0.4, 0.4, 0.4]]::DOUBLE[][]"""
+
+    def joint(v: str, c: str) -> str:
+        factors = [f"CASE {v}[{r}] WHEN 1 THEN rates[{c}][{r}] WHEN -1 THEN 1.0::DOUBLE - rates[{c}][{r}] ELSE 1.0::DOUBLE END" for r in range(1, 9)]
+        return f"shares[{c}] * " + " * ".join(factors)
+
+    def joints(v: str) -> str:
+        return "[" + ", ".join(joint(v, str(c)) for c in range(1, 5)) + "]"
+
+    total = "list_sum(list_transform(e, lambda x: x.n))"
+    new_shares = ", ".join(f"(list_sum(list_transform(e, lambda x: x.n * x.q[{c}])) + 2 * first_shares[{c}]) / ({total} + 2)" for c in range(1, 5))
+
+    def rate(c: int, r: int) -> str:
+        agree = f"list_sum(list_transform(e, lambda x: CASE WHEN x.v[{r}] = 1 THEN x.n * x.q[{c}] ELSE 0.0::DOUBLE END))"
+        spoke = f"list_sum(list_transform(e, lambda x: CASE WHEN x.v[{r}] <> 0 THEN x.n * x.q[{c}] ELSE 0.0::DOUBLE END))"
+        return f"({agree} + 2 * first_rates[{c}][{r}]) / ({spoke} + 2)"
+
+    new_rates = ", ".join("[" + ", ".join(rate(c, r) for r in range(1, 9)) + "]" for c in range(1, 5))
     lines = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
     return f"""
 WITH RECURSIVE split AS (
@@ -47,26 +50,33 @@ twice AS (SELECT doc_id, least(3, coalesce(lead(p) OVER (PARTITION BY doc_id ORD
 repeats AS (SELECT doc_id, sum(covers) AS n_repeat_words FROM twice GROUP BY doc_id),
 m AS (SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+  len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_marked, len(list_distinct(w)) AS n_distinct,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
   length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
   len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;"\\x27)\\x{{3002}}\\x{{2026}}][\\x20\\x09-\\x0D]*$'))) AS n_ended
   FROM split s LEFT JOIN repeats USING (doc_id)),
 voted AS (SELECT *, [
   CASE WHEN 100 * n_symbols > 30 * n_words THEN -1 WHEN 100 * n_symbols <= 5 * n_words THEN 1 ELSE 0 END,
+  CASE WHEN 100 * n_marked > 25 * n_words THEN -1 WHEN 100 * n_marked <= 5 * n_words THEN 1 ELSE 0 END,
   CASE WHEN 100 * n_dup_lines > 80 * n_lines THEN -1 WHEN n_lines >= 3 AND n_dup_lines = 0 THEN 1 ELSE 0 END,
   CASE WHEN 100 * n_repeat_words > 30 * n_words THEN -1 WHEN 100 * n_repeat_words <= 10 * n_words THEN 1 ELSE 0 END,
+  CASE WHEN n_distinct * n_distinct < 4 * n_words THEN -1 WHEN n_distinct * n_distinct >= 20 * n_words THEN 1 ELSE 0 END,
   CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 10 * n_words THEN 1 ELSE 0 END,
   CASE WHEN 100 * n_upper > 40 * word_chars THEN -1 WHEN 100 * n_upper <= 15 * word_chars THEN 1 ELSE 0 END,
   CASE WHEN n_lines >= 4 AND 100 * n_ended <= 20 * n_lines THEN -1 WHEN 100 * n_ended >= 60 * n_lines THEN 1 ELSE 0 END] AS v FROM m),
 pats AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps FROM (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v)),
+start AS (SELECT {shares} AS first_shares, {rates} AS first_rates),
 em AS (
-  SELECT 0 AS it, 0.8::DOUBLE AS prior, {start_good}::DOUBLE[] AS good, {start_bad}::DOUBLE[] AS bad
+  SELECT 0 AS it, first_shares AS shares, first_rates AS rates FROM start
   UNION ALL
-  SELECT it + 1, least(greatest({share}, 0.05::DOUBLE), 0.95::DOUBLE), [{good}], [{bad}]
-  FROM (SELECT it, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n, 'q': {posterior("p.v", "prior", "good", "bad")}}}) AS e FROM em, pats WHERE it < 20))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
-  NOT failed AND {posterior("v", "prior", "good", "bad")} >= 0.5 AS kept
-FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM voted), (SELECT * FROM em WHERE it = 20)"""
+  SELECT it + 1, [{new_shares}], [{new_rates}]
+  FROM (SELECT it, list_transform(js, lambda x: {{'v': x.v, 'n': x.n, 'q': list_transform(x.j, lambda y: y / list_sum(x.j))}}) AS e
+    FROM (SELECT it, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n, 'j': {joints("p.v")}}}) AS js FROM em, pats WHERE it < 20)), start),
+done AS (SELECT shares, rates, list_position(list_transform(rates, lambda x: list_sum(x)), list_max(list_transform(rates, lambda x: list_sum(x)))) AS good FROM em WHERE it = 20),
+quality AS (SELECT v, j[good] / list_sum(j) AS q FROM (SELECT v, good, {joints("v")} AS j FROM (SELECT DISTINCT v FROM voted), done))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND q >= 0.5 AS kept
+FROM voted JOIN quality USING (v)"""
 
 
 def op4() -> str:
