@@ -1,20 +1,16 @@
 """Personal data by patterns, and terms that disclose it by corpus co-occurrence.
 
-Base spans (e-mail, IP, card, phone) name the protected entities. A term in
-the neighbourhood of an entity's mentions discloses it when the corpus says
-so: with n documents in all, the term's pointwise mutual information with the
+Base spans (e-mail, IP, card, phone) name the protected entities. A term of the
+documents that hold an entity discloses it when the corpus says so: with n
+documents in all, the term's pointwise mutual information with the
 entity, log(n n_te / (n_t n_e)), reaches the share ``ALPHA`` of the entity's
-own information log(n / n_e), on at least ``SUPPORT`` documents. Those mentions
-of the term are spans of kind "term"; sanitising generalises them (a number, a
-name) or removes them, as it masks the base spans.
+own information log(n / n_e), on at least ``SUPPORT`` documents. Wherever such a
+term stands in those documents, however far from the entity, it is a span of kind "term"; sanitising
+generalises it (a number, a name) or removes it, as it masks the base spans.
 
-``spans_of`` (the registered query, as its SQL has it) takes candidates from a
-neighbourhood of the mentions and marks those mentions. ``sanitised`` (the
-pipeline) has no window: all terms of the documents that hold the entity are
-scored, and a disclosing term goes wherever it stands in them.
-
-The corpus counts cover all documents: distinct terms per document are summed
-on the map side, and only then meet the candidate terms.
+The corpus counts cover all documents and whole texts: distinct terms per document are summed
+on the map side, and only then meet the candidate terms. Texts are kept for the
+second look only where they hold personal data.
 
 Defined results: a null or empty text has no spans; repeated rows get the same
 spans; rows are matched back by id and content, so equal ids with other texts
@@ -40,7 +36,6 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 
 TERM = r"[\p{L}\p{N}]+"
 NOT_TERM = r"[^\p{L}\p{N}]+"
-REACH = 60  # code points on either side of a mention that count as its neighbourhood
 ALPHA = 0.75
 SUPPORT = 2
 
@@ -74,76 +69,12 @@ def entity(span: Column) -> Column:
     )
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Terms wholly within REACH of a span: array of (s, e, value)."""
-
-    def terms(part: Column, offset: Column) -> Column:
-        return F.transform(
-            matches(part, TERM, F.lit(True)), lambda x: F.struct((x["s"] + offset).alias("s"), (x["e"] + offset).alias("e"), x["value"].alias("value"))
-        )
-
-    lo = F.greatest(span["s"] - REACH, F.lit(0))
-    left = F.substring(text, (lo + 1).cast("int"), (span["s"] - lo).cast("int"))
-    right = F.substring(text, (span["e"] + 1).cast("int"), F.lit(REACH))
-    # A term cut by the window's edge is left out.
-    left_terms = F.filter(terms(left, lo), lambda x: (x["s"] > lo) | (lo == 0))
-    hi = span["e"] + REACH
-    right_terms = F.filter(terms(right, span["e"]), lambda x: (x["e"] < hi) | (F.length(text) <= hi))
-    return F.concat(left_terms, right_terms)
-
-
-def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sha, base, near) of the rows of ``docs``; ``near`` holds, per entity mention, its neighbouring terms."""
-    spanned = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("base", base_spans(F.col("t")))
-    near = F.transform("base", lambda x: F.struct(entity(x).alias("entity"), near_terms(F.col("t"), x).alias("terms")))
-    return spanned.select("doc_id", F.sha2("t", 256).alias("sha"), "base", near.alias("near"))
-
-
 def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n_t): documents that hold each term, over all documents and whole texts."""
     terms = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_TERM))
     return docs.select(F.explode(terms).alias("term")).where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosing(found: DataFrame, term_counts: DataFrame, n: int, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs whose co-occurrence gives the entity away. ``found`` is the stored ``mentions``."""
-    pairs = found.where(F.size("near") > 0).select(F.struct("doc_id", "sha").alias("row"), F.explode("near").alias("m"))
-    entities = pairs.select("row", "m.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = (
-        pairs.select("row", "m.entity", F.explode("m.terms.value").alias("value"))
-        .select("row", "entity", F.lower("value").alias("term"))
-        .distinct()
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_te"))
-        .where(F.col("n_te") >= support)
-    )
-    scored = together.join(entities, "entity").join(term_counts, "term")
-    information = F.log(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return scored.where((information > 0) & (pmi >= alpha * information)).select("entity", "term")
-
-
-def spans_of(docs: DataFrame, text: str, store, n: int | None = None) -> DataFrame:
-    """(doc_id, sha, spans) of every row: base spans, then term spans, by kind and start."""
-    found = store(mentions(docs, text))
-    n = docs.count() if n is None else n
-    pairs = disclosing(found, term_documents(docs, text), n)
-    hits = (
-        found.where(F.size("near") > 0)
-        .select("doc_id", "sha", F.explode("near").alias("m"))
-        .select("doc_id", "sha", "m.entity", F.explode("m.terms").alias("x"))
-        .withColumn("term", F.lower("x.value"))
-        .join(pairs, ["entity", "term"], "left_semi")
-        .groupBy("doc_id", "sha")
-        .agg(F.collect_set("x").alias("terms"))
-    )
-    hits = store(hits).withColumnsRenamed({"doc_id": "hit_id", "sha": "hit_sha"})
-    both = found.drop("near").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sha") == F.col("hit_sha")), "left")
-    terms = F.coalesce(F.col("terms"), F.array().cast("array<struct<s:bigint,e:bigint,value:string>>"))
-    added = kinded("term", len(BASE_KINDS), F.sort_array(outside(terms, F.col("base"))))
-    return both.select("doc_id", "sha", F.concat("base", added).cast(SPANS).alias("spans"))
-
-
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced; overlapping spans become one, named after the first."""
 
@@ -169,15 +100,15 @@ def outside(terms: Column, base: Column) -> Column:
     return F.filter(terms, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
 
 
-def document_terms(docs: DataFrame, text: str, store, n: int | None = None, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, sha, base, terms) of the rows with base spans; ``terms`` disclose, by whole documents, an entity of the row."""
+def disclosures(docs: DataFrame, text: str, store, n: int | None = None, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, sha, t, spans) of the different rows with base spans: these, then every mention of a term that
+    discloses an entity of the row, by kind and start; ``t`` is the text."""
     t = F.coalesce(F.col(text), F.lit(""))
     spanned = docs.select("doc_id", t.alias("t")).withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0)
     terms = F.array_distinct(F.transform(outside(matches(F.col("t"), TERM, F.lit(True)), F.col("base")), lambda x: F.lower(x["value"])))
     entities = F.array_distinct(F.transform("base", entity))
-    found = store(
-        spanned.select("doc_id", F.sha2("t", 256).alias("sha"), "base", entities.alias("entities"), terms.alias("terms")).dropDuplicates(["doc_id", "sha"])
-    )
+    found = spanned.select("doc_id", F.sha2("t", 256).alias("sha"), "t", "base", entities.alias("entities"), terms.alias("terms"))
+    found = store(found.dropDuplicates(["doc_id", "sha"]))
     n = docs.count() if n is None else n
     information = F.log(F.lit(float(n)) / F.col("n_e"))
     n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -192,20 +123,24 @@ def document_terms(docs: DataFrame, text: str, store, n: int | None = None, alph
     hits = each.join(pairs, ["entity", "term"], "left_semi").groupBy("doc_id", "sha").agg(F.collect_set("term").alias("disclosing"))
     hits = store(hits).withColumnsRenamed({"doc_id": "hit_id", "sha": "hit_sha"})
     both = found.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sha") == F.col("hit_sha")), "left")
-    return both.select("doc_id", "sha", "base", F.coalesce("disclosing", F.array().cast("array<string>")).alias("terms"))
+    told = F.col("disclosing")
+    mentioned = F.filter(matches(F.col("t"), TERM, told.isNotNull()), lambda x: F.array_contains(told, F.lower(x["value"])))
+    spans = F.concat("base", kinded("term", len(BASE_KINDS), outside(mentioned, F.col("base")))).cast(SPANS)
+    return both.select("doc_id", "sha", "t", spans.alias("spans"))
 
 
-def sanitised(docs: DataFrame, text: str, store) -> DataFrame:
-    """``docs``, all rows and columns, with personal data and disclosing terms replaced in the texts.
+def spans_of(docs: DataFrame, text: str, store, n: int | None = None) -> DataFrame:
+    """(doc_id, sha, spans) of every row: base spans, then term spans, by kind and start."""
+    found = disclosures(docs, text, store, n).select(F.col("doc_id").alias("hit_id"), F.col("sha").alias("hit_sha"), "spans")
+    rows = docs.select("doc_id", F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
+    met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sha") == F.col("hit_sha")), "left")
+    return met.select("doc_id", "sha", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
 
-    Terms count over the whole documents that hold the entity, and every mention of a disclosing term there goes.
-    """
-    found = store(document_terms(docs, text, store))
-    i, h, b, s = private_names(docs, "span_id", "span_sha", "spans", "terms")
-    found = found.select(F.col("doc_id").alias(i), F.col("sha").alias(h), F.col("base").alias(b), F.col("terms").alias(s))
+def sanitised(docs: DataFrame, text: str, store) -> DataFrame:
+    """``docs``, all rows and columns, with personal data and disclosing terms replaced in the texts."""
+    i, h, new = private_names(docs, "span_id", "span_sha", "masked")
+    found = store(disclosures(docs, text, store).select(F.col("doc_id").alias(i), F.col("sha").alias(h), masked(F.col("t"), F.col("spans")).alias(new)))
     sha = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
     rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col(i)) & (sha == F.col(h)), "left")
-    mentioned = F.filter(matches(docs[text], TERM, F.size(s) > 0), lambda x: F.array_contains(F.col(s), F.lower(x["value"])))
-    spans = F.concat(F.col(b), kinded("term", len(BASE_KINDS), outside(mentioned, F.col(b)))).cast(SPANS)
-    new = F.when(F.col(b).isNull(), docs[text]).otherwise(let(spans, lambda x: masked(docs[text], x)))
-    return rows.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+    return rows.select(*[F.coalesce(F.col(new), docs[text]).alias(c) if c == text else docs[c] for c in docs.columns])

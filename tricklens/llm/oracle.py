@@ -135,26 +135,22 @@ def op6() -> str:
             hits("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digit}) BETWEEN 9 AND 15"),
         ]
     )
-    near = " UNION ALL ".join(
-        hits("term", 4, r"[\p{L}\p{N}]+", "true", source="side", key="doc_id, entity, lo, hi, total", text=part) for part in ("before", "after")
-    )
-    left, right = near.split(" UNION ALL ")
+    term = r"[\p{L}\p{N}]+"
     return f"""
 WITH base AS ({base}),
-side AS (SELECT doc_id, greatest(s - 60, 0) AS lo, e + 60 AS hi, length(text) AS total,
-  kind || ':' || CASE WHEN kind = 'email' THEN lower(v) ELSE regexp_replace(v, '[^0-9.]+', '', 'g') END AS entity,
-  substr(text, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0)) AS before, substr(text, e + 1, 60) AS after
-  FROM base JOIN documents USING (doc_id)),
-near AS (SELECT doc_id, entity, s + lo AS s, e + lo AS e, v FROM ({left}) WHERE s > 0 OR lo = 0
-  UNION ALL SELECT doc_id, entity, s + hi - 60, e + hi - 60, v FROM ({right}) WHERE e < 60 OR total <= hi),
+held AS (SELECT DISTINCT doc_id, kind || ':' || CASE WHEN kind = 'email' THEN lower(v) ELSE regexp_replace(v, '[^0-9.]+', '', 'g') END AS entity FROM base),
+pieces AS (SELECT doc_id, regexp_extract_all(text, '{term}') AS h, regexp_split_to_array(text, '{term}') AS gaps FROM documents WHERE doc_id IN (SELECT doc_id FROM base)),
+each AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, h, gaps FROM pieces),
+ended AS (SELECT doc_id, h[i] AS v, CAST(sum(length(gaps[i]) + length(h[i])) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM each),
+terms AS (SELECT doc_id, lower(v) AS term, e - length(v) AS s, e FROM ended
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = ended.doc_id AND b.s < ended.e AND ended.e - length(ended.v) < b.e)),
 n_t AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM documents) GROUP BY term),
-n_e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM side GROUP BY entity),
-n_te AS (SELECT entity, lower(v) AS term, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
+n_e AS (SELECT entity, count(*) AS n_e FROM held GROUP BY entity),
+n_te AS (SELECT entity, term, count(*) AS n_te FROM held JOIN (SELECT DISTINCT doc_id, term FROM terms) USING (doc_id) GROUP BY ALL HAVING count(*) >= 2),
 tell AS (SELECT entity, term FROM n_te JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents)
   WHERE ln(n / n_e) > 0 AND ln(n * n_te / (n_t * n_e)) >= 0.75 * ln(n / n_e)),
 spans AS (SELECT doc_id, kind, rank, s, e FROM base UNION ALL
-  SELECT DISTINCT doc_id, 'term', 4, s, e FROM near JOIN tell ON near.entity = tell.entity AND lower(v) = term
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = near.doc_id AND b.s < near.e AND near.s < b.e))
+  SELECT doc_id, 'term', 4, s, e FROM terms WHERE (doc_id, term) IN (SELECT doc_id, term FROM held JOIN tell USING (entity)))
 {digests(("email", "ip", "card", "phone"), "rank, s", 4)}"""
 
 
