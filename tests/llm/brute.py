@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html.parser
 import re
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -131,3 +132,71 @@ def near_vectors(rows):
                 links[j] += 1
                 u.link(i, j)
     return {i: (links[i], u.root(i)) for i, _, _ in rows}
+
+
+class _Tree(html.parser.HTMLParser):
+    """A page as nested lists [tag, attributes, children]; paragraphs, items and cells end where HTML ends them."""
+
+    ENDS = {"p": "p h1 h2 h3 h4 h5 h6 ul ol li div section article table tr td th aside footer nav form header blockquote", "li": "li", "td": "td th tr", "th": "td th tr", "tr": "tr"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = ["html", {}, []]
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        while tag in self.ENDS.get(self.open[-1][0], "").split():
+            self.open.pop()
+        node = [tag, dict(reversed(attrs)), []]
+        self.open[-1][2].append(node)
+        if tag not in ("br", "img", "input", "meta", "link", "hr"):
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n[0] == tag for n in self.open[1:]):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+INLINE = "a b i em strong span code sub sup small math mi mo mn u br img".split()
+GONE = "script style nav footer aside form button select head svg annotation".split()
+
+
+def article_text(page):
+    """The article's blocks of a page whose text stands in one <article>; a plain walk over its tree."""
+    out, line = [], []
+
+    def end():
+        words = " ".join("".join(line).split())
+        line.clear()
+        if words:
+            out.append(words)
+
+    def walk(node):
+        for child in node[2]:
+            if isinstance(child, str):
+                line.append(child)
+            elif child[0] == "br":
+                line.append(" ")
+            elif child[0] in INLINE:
+                walk(child)
+            elif child[0] not in GONE and "hidden" not in child[1]:
+                end()
+                walk(child)
+                end()
+
+    def find(node):
+        if node[0] == "article":
+            return node
+        return next((x for c in node[2] if not isinstance(c, str) and (x := find(c))), None)
+
+    article = find(_Tree(page or "").root)
+    if article:
+        walk(article)
+        end()
+    return "\n\n".join(out)

@@ -9,7 +9,10 @@ ranked path that the page has, or under its own best container if it has
 none of them.
 
 Boilerplate (menus, page headers and footers, side bars, notices, adverts,
-forms, comments, scripts, styles) is left out by tag, role and class or id words.
+forms, comments, scripts, styles) is left out by tag, role and, of boxes, by
+class or id words. Where such a word may as well be the article's own (an id, a
+table row of class "header"), the element is left out of the vote and of whole
+bodies, and stays in a container that the vote chose around it.
 
 Defined results: null or empty html gives an empty text; a page without a
 host votes among the pages without one; broken markup is read on; repeated
@@ -25,17 +28,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tricklens.llm.common import private_names, stored
 
+# What follows a tag's name, up to its end: quotes count after an equals sign only, as HTML reads them.
+REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|iframe|svg|math|object|xmp)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    rf"|<(script|style|title|textarea|noscript|template|iframe|svg|object|xmp|annotation|annotation-xml)(?![^\s/>]){REST}>.*?(?:</\1\s*+>|\Z)"
     r"|<[!?][^>]*+>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({REST})>"
+    r"|</?[a-zA-Z].*\Z",  # a tag that never ends (a quote left open) takes the rest of the page, as in HTML
     re.S | re.I,
 )
 # One whole attribute, as HTML reads it: a name up to white space, / or =, then perhaps a value. The first of a name counts.
@@ -68,6 +74,11 @@ DROPPED_WORDS = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay paywall "
     "share sharing social related recommended newsletter subscribe signup login search form tags".split()
 )
+# Boxes that are named after what they are for; tables, lists' items and paragraphs are named after what they say.
+BOXES = frozenset("div ul ol dl figure details center".split())
+# A class may also name a part of the article so, an id a heading's anchor.
+UNSURE_CLASSES = frozenset("header discussion".split())
+SURE_IDS = frozenset("ad ads advert advertisement adsense comments commentlist respond disqus sidebar footer masthead navbar breadcrumbs cookie cookies gdpr newsletter".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LEVELLED = re.compile(r"[0-9a-f]{8,}|\d+", re.I)
 
@@ -78,8 +89,8 @@ RANKED = 16  # paths of a host that every task of pass two knows; pages with non
 class Block:
     """One run of text: its container path, its text, how much of it is links, and whether it is a top heading.
 
-    ``section`` is the path of the outermost section around it that is named like boilerplate: the block
-    belongs to a container around that section, and to nothing else.
+    ``section`` is the path of the outermost element around it that is named like boilerplate: the block
+    belongs to a container around that element, and to nothing else.
     """
 
     __slots__ = ("path", "text", "linked", "heading", "section")
@@ -96,16 +107,22 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def dropped(tag: str, at: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is boilerplate wherever it stands."""
     if tag in DROPPED_TAGS or (tag == "header" and not in_article) or at.get("role", "").strip().lower() in DROPPED_ROLES:
         return True
     if "hidden" in at or at.get("aria-hidden", "").strip().lower() == "true":
         return True
-    # Words of names tell boilerplate containers; a heading or a section of the article may be called anything.
-    return tag not in ("html", "body", "article", "main", "section") and tag not in HEADINGS and named(at)
+    classes, sure = at.get("class", ""), DROPPED_WORDS - UNSURE_CLASSES
+    if tag in BOXES:
+        return any(w.lower() in sure for w in WORD.findall(classes)) or any(w.lower() in SURE_IDS for w in WORD.findall(at.get("id", "")))
+    # Of a paragraph, an item or a cell, a whole class only: "ad", but not "social-studies".
+    return tag in LEAVES and tag not in HEADINGS and any(c.lower() in sure for c in classes.split())
 
 
-def named(at: dict[str, str]) -> bool:
-    """Whether a word of the class or id names boilerplate."""
+def named(tag: str, at: dict[str, str]) -> bool:
+    """Whether a word of the class or id names boilerplate: then it is none of the page's text, unless it stands in the article."""
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return False
     return any(w.lower() in DROPPED_WORDS for w in WORD.findall(f"{at.get('class', '')} {at.get('id', '')}"))
 
 
@@ -117,7 +134,7 @@ def step(tag: str, at: dict[str, str]) -> str:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, boilerplate left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str | None, bool, str]] = []  # tag, path if a container, whether dropped, section named like boilerplate
+    stack: list[tuple[str, str | None, bool, str]] = []  # tag, path if a container, whether dropped, element named like boilerplate
     text: list[str] = []
     linked = depth_a = 0
 
@@ -173,8 +190,8 @@ def blocks(page: str) -> list[Block]:
             if tag in CONTAINERS and tag != "html":
                 path = f"{inside or 'body'}/{step(tag, attrs)}" if tag != "body" else "body"
             section = stack[-1][3] if stack else ""
-            if tag == "section" and not section and "/article" not in inside and named(attrs):
-                section = path
+            if not section and "/article" not in inside and attrs and named(tag, attrs):
+                section = path or f"{inside or 'body'}/{step(tag, attrs)}"
             stack.append((tag, path, out, section))
             depth_a = 0
     say(page[at:])
@@ -206,7 +223,7 @@ def best_path(found: list[Block]) -> str | None:
 
 
 def under(found: list[Block], path: str) -> list[Block]:
-    """The blocks of a container; those of a section named like boilerplate only if the container is around it and not the body."""
+    """The blocks of a container; those of an element named like boilerplate only if the container is around it and not the body."""
     inside = path + "/"
     return [b for b in found if (b.section.startswith(inside) and path != "body" if b.section else b.path == path or b.path.startswith(inside))]
 
@@ -223,7 +240,12 @@ def own_paths(found: list[Block]) -> set[str]:
 
 
 def digest(path: str) -> bytes:
-    return hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.md5(path.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def digested(path: Column) -> Column:
+    """``digest`` as an SQL function."""
+    return F.unhex(F.md5(path.cast("binary")))
 
 
 VOTES = "host string, page string, path string, chars long, own array<binary>"
@@ -243,26 +265,33 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "page", "path", "chars", "own"])
 
 
-def ranked_paths(voted: DataFrame) -> DataFrame:
-    """(host, path, rank): each host's paths by pages that voted for them."""
+def tallied(voted: DataFrame) -> DataFrame:
+    """(host, path, order): how each host's paths rank, by pages that voted for them; the least order ranks first."""
     tally = voted.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
-    order = W.partitionBy("host").orderBy(F.desc("pages"), F.desc("chars"), "path")
-    return tally.withColumn("rank", F.row_number().over(order))
+    return tally.select("host", "path", F.struct((-F.col("pages")).alias("p"), (-F.col("chars")).alias("c"), "path").alias("order"))
 
 
-def late_paths(voted: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(late_host, late_page, late_path) of the pages whose highest ranked path comes after their host's first ``RANKED``."""
-    many = ranked.where(F.col("rank") == RANKED + 1).select("host")
-    own = voted.join(many, "host", "left_semi").select("host", "page", F.explode("own").alias("key")).distinct()
-    known = ranked.join(many, "host", "left_semi").select("host", "path", "rank").mapInArrow(with_digests, "host string, key binary, path string, rank int")
-    best = own.join(known, ["host", "key"]).groupBy("host", "page").agg(F.min(F.struct("rank", "path")).alias("best"))
-    return best.where(F.col("best.rank") > RANKED).select(F.col("host").alias("late_host"), F.col("page").alias("late_page"), F.col("best.path").alias("late_path"))
+def first_paths(tally: DataFrame) -> DataFrame:
+    """(host, paths): each host's first ``RANKED`` paths in order. Of a host's other paths each task drops its own before any shuffle."""
+    rank = F.row_number().over(W.partitionBy("host").orderBy("order")).alias("rank")
+    first = tally.select("host", "path", rank).where(F.col("rank") <= RANKED)
+    return first.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
 
 
-def with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = pa.array(map(digest, batch.column("path").to_pylist()), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("host"), keys, batch.column("path"), batch.column("rank")], ["host", "key", "path", "rank"])
+def odd_pages(voted: DataFrame, first: DataFrame) -> DataFrame:
+    """(host, page, own) of the pages that have none of their host's first paths, on hosts that have more."""
+    keyed = first.where(F.size("paths") == RANKED).select(F.col("host").alias("of"), F.transform("paths", digested).alias("first"))
+    met = voted.join(keyed, F.col("host") == F.col("of"))
+    return met.where(~F.arrays_overlap("own", "first")).select("host", "page", "own").distinct()
+
+
+def late_paths(odd: DataFrame, tally: DataFrame) -> DataFrame:
+    """(late_host, late_page, late_path): the best ranked path of each odd page, among all paths of its host."""
+    own = odd.select("host", "page", F.explode("own").alias("key"))
+    hosts = odd.select(F.col("host").alias("odd_host")).distinct()
+    known = tally.join(hosts, F.col("host") == F.col("odd_host"), "left_semi")
+    best = own.join(known.select("host", "order", digested(F.col("path")).alias("key")), ["host", "key"]).groupBy("host", "page").agg(F.min("order").alias("best"))
+    return best.select(F.col("host").alias("late_host"), F.col("page").alias("late_page"), F.col("best.path").alias("late_path"))
 
 
 def main_text(page: str, paths: list[str]) -> str:
@@ -281,13 +310,14 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     hosted = pages.withColumn(host, name).withColumn(html, F.coalesce(F.col(html), F.lit("")))
     page = F.sha2(F.col(html), 256)
     voted = stored(hosted.select(host, page.alias("page"), html).mapInArrow(votes, VOTES), "page-votes")
-    ranked = stored(ranked_paths(voted), "ranked-paths")
-    listed = ranked.where(F.col("rank") <= RANKED).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
+    tally = stored(tallied(voted), "path-votes")
     # Written once: its true size lets Spark broadcast a short list and split a hot host of a long one.
-    winners = stored(listed.select("host", F.col("ranked.path").alias("paths")), "host-paths").withColumnsRenamed({"host": f"{host}w", "paths": paths})
+    first = stored(first_paths(tally), "host-paths")
+    winners = first.withColumnsRenamed({"host": f"{host}w", "paths": paths})
     joined = hosted.join(winners, F.col(host) == F.col(f"{host}w"), "left").drop(f"{host}w")
     # Few pages have none of their host's first paths; only they, if any, move to their own path.
-    others = stored(late_paths(voted, ranked), "late-paths").withColumnsRenamed({c: f"{late}{c}" for c in ("late_host", "late_page", "late_path")})
+    odd = stored(odd_pages(voted, first), "odd-pages")
+    others = stored(late_paths(odd, tally), "late-paths").withColumnsRenamed({c: f"{late}{c}" for c in ("late_host", "late_page", "late_path")})
     if others.isEmpty():
         joined = joined.drop(host)
     else:
