@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN = r"[A-Za-zÀ-ÿ]"
+RUN = r"[a-zÀ-ÿ]"  # once A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_COUNT = 5, 3
 RATIO = 2
@@ -50,9 +50,8 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", gar
     divides h, the CRC-32 of ``<doc_id>:<run>`` (made misspellings to find again).
     """
     # Shorter runs make no word, whether garbled or not.
-    runs = F.regexp_extract_all(F.col(text), F.lit(RUN + f"{{{MIN_LENGTH},}}"), F.lit(0))
-    each = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("of"), F.explode(runs).alias("run"))
-    each = each.select("of", F.translate("run", UPPER, LOWER).alias("word"))
+    runs = F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(RUN + f"{{{MIN_LENGTH},}}"), F.lit(0))
+    each = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("of"), F.explode(runs).alias("word"))
     if garble is not None:
         h = F.crc32(F.concat_ws(":", "of", "word").cast("binary"))
         at = (F.col("h") % F.length("word")).cast("int")
@@ -120,7 +119,7 @@ def near_pairs(words: DataFrame, store) -> DataFrame:
     equal = [ends(F.col("a"), k) == ends(F.col("b"), k) for k in kept_ends(F.length("a"))]
     first = reduce(lambda rest, s: F.when(equal[s], s).otherwise(rest), reversed(range(SLOTS)), F.lit(SLOTS))
     near = F.levenshtein(F.col("a"), F.col("b"), 1) == 1
-    return met.where((first == F.col("slot")) & near).select("a", "n_a", "b", "n_b")
+    return met.where(near & (first == F.col("slot"))).select("a", "n_a", "b", "n_b")
 
 
 def with_forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
