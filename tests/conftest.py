@@ -17,7 +17,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -328,16 +328,3 @@ def test_names_and_aliases_with_spaces(spark):
     s = summarize(frame(spark, [rnd(1, ["Ann B", "bo", "cy", "di"])]), roster)
     row = s.first().asDict()
     assert row["ann b_figures_count"] == 5 and row["total_rounds_played"] == 1
-
-
-def test_job_caps_codegen_only_for_its_run(spark, tmp_path):
-    src = str(tmp_path / "rounds.jsonl")
-    _write_jsonl(src, extra_nested=False)
-    key = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "65535")
-    try:
-        run(spark, src, str(tmp_path / "out"), ROSTER)
-        assert spark.conf.get(key) == "65535"
-    finally:
-        spark.conf.set(key, before)

@@ -59,7 +59,7 @@ def figure_suits(cards: str) -> str:
 
 def figures_of_suit(figure_suits_col: str, suit: str) -> str:
     """Figures of one suit from the ``figure_suits`` array (null when the hand is null)."""
-    return f"(array_size({figure_suits_col}) - array_size(array_remove({figure_suits_col}, '{suit}')))"
+    return f"array_size(filter({figure_suits_col}, s -> s = '{suit}'))"
 
 
 def suit_counts(cards: str, tarnib: str) -> dict[str, str]:

@@ -14,11 +14,9 @@ def person_of(player: str, roster: Roster) -> str:
     return first_match([(in_list(lowered, aliases), sql_string(person)) for person, aliases in roster.people])
 
 
-def is_first_seat(persons: list[str], seat: int) -> str:
-    """SQL: the person in ``seat`` (1-based) is not null and holds no lower seat."""
-    person = persons[seat - 1]
-    parts = [f"{person} IS NOT NULL"] + [f"NOT ({person} <=> {persons[s]})" for s in range(seat - 1)]
-    return "(" + " AND ".join(parts) + ")"
+def is_first_seat(persons: str, seat: int) -> str:
+    """SQL: the person in ``seat`` (1-based) of the array ``persons`` is not null and holds no lower seat."""
+    return f"coalesce(array_position({persons}, {persons}[{seat - 1}]) = {seat}, false)"
 
 
 def attribution(seats: DataFrame) -> DataFrame:

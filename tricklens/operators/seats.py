@@ -11,6 +11,10 @@ Three narrow projections, no shuffle:
 Each hand is scanned once per token class. Catalyst cannot prune fields of
 the structs built for ``inline``, so the table is built for the requested
 metrics only: a metric of the bid alone never touches the hands.
+
+No generated method comes near the JIT's limit of 8,000 bytes (a longer one is
+only ever interpreted, which halved the speed): persons are resolved and figures
+per suit counted in lambdas, which ends the fused code there, and rank counts travel as one array a hand.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from tricklens.functions.hand import figures, rank_counts, seat_metrics, suit_co
 from tricklens.model import FIGURE_RANKS, HAND_PARTNER, METRICS, SEATS, SUITS, Roster, Rules, cards_col, player_col
 from tricklens.operators.attribution import is_first_seat, person_of
 
-RANKS = [f"n{r}" for r in FIGURE_RANKS]
+
+def ranks_in(array: str) -> dict[str, str]:
+    """The figure-rank counts (``n11`` ..) held in an array column."""
+    return {f"n{r}": f"{array}[{k}]" for k, r in enumerate(FIGURE_RANKS)}
+
 
 # Base inputs of each metric: rank counts of the own hand, the partner's
 # figures, the figure suits, the suit lengths, trumps held, the picker.
@@ -71,17 +79,20 @@ def seat_table(
     # persons resolved upstream (operators.roster_join) when no roster object is given
     resolved = roster is None and all(p in rounds.columns for p in persons)
     per_round = [f"{round_id} AS round_id", "tarnib", f"{trump_picker('bids_data')} AS _picker"]
+    if resolved:
+        per_round.append(f"array({', '.join(persons)}) AS _persons")
+    elif roster:
+        # One rule for all seats: the code does not grow with the roster times the seats.
+        players = ", ".join(player_col(seat) for seat in SEATS)
+        per_round.append(f"transform(array({players}), p -> {person_of('p', roster)}) AS _persons")
+    else:
+        per_round.append("CAST(NULL AS ARRAY<STRING>) AS _persons")
     for seat in SEATS:
-        if resolved:
-            person = f"_person_{seat}"
-        else:
-            person = person_of(player_col(seat), roster) if roster else "CAST(NULL AS STRING)"
         per_round.append(f"{player_col(seat)} AS _player_{seat}")
-        per_round.append(f"{person} AS _person_{seat}")
         if suit_inputs:
             per_round.append(f"{cards_col(seat)} AS _cards_{seat}")
         if with_ranks:
-            per_round += [f"{expr} AS _{name}_{seat}" for name, expr in rank_counts(cards_col(seat)).items()]
+            per_round.append(f"array({', '.join(rank_counts(cards_col(seat)).values())}) AS _ranks_{seat}")
     wide = rounds.selectExpr(*per_round)
 
     structs = []
@@ -90,23 +101,23 @@ def seat_table(
         fields = [
             f"'seat', {seat}",
             f"'player', _player_{seat}",
-            f"'person', _person_{seat}",
-            f"'is_first_seat', {is_first_seat(persons, seat)}",
+            f"'person', _persons[{seat - 1}]",
+            f"'is_first_seat', {is_first_seat('_persons', seat)}",
         ]
         if suit_inputs:
             fields.append(f"'cards', _cards_{seat}")
         if with_ranks:
-            fields += [f"'{n}', _{n}_{seat}" for n in RANKS]
-            fields.append(f"'partner_figures', {figures({n: f'_{n}_{partner}' for n in RANKS})}")
+            fields += [f"'ranks', _ranks_{seat}", f"'partner_ranks', _ranks_{partner}"]
         structs.append(f"named_struct({', '.join(fields)})")
     seats = wide.selectExpr("round_id", "tarnib", "_picker", f"inline(array({', '.join(structs)}))")
 
     carried = ["round_id", "seat", "player", "person", "is_first_seat", "tarnib", "_picker"]
     if with_ranks:
-        carried += ["partner_figures", *RANKS]
+        carried += ["ranks", "partner_ranks"]
     counts = suit_counts("cards", "tarnib")
     counted = seats.selectExpr(*carried, *[f"{counts[name]} AS {name}" for name in suit_inputs])
-    exprs = seat_metrics("seat", "_picker", "tarnib", "partner_figures", rules)
+    counted_as = {name: name for name in counts} | ranks_in("ranks")
+    exprs = seat_metrics("seat", "_picker", "tarnib", figures(ranks_in("partner_ranks")), rules, counted_as)
     return counted.selectExpr(
         "round_id",
         "seat",

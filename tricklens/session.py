@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import SparkSession
 
-# Generated methods above HotSpot's 8000-byte limit are never JIT-compiled and
-# run interpreted; with this limit Spark falls back to smaller per-operator
-# code for such stages instead (about 2x faster on the feature projection).
-JIT_METHOD_LIMIT = 8000
-
 
 def local_session(cores: int = 8, app: str = "tricklens", event_log_dir: str | None = None) -> SparkSession:
     builder = (
@@ -24,23 +16,9 @@ def local_session(cores: int = 8, app: str = "tricklens", event_log_dir: str | N
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
     )
     if event_log_dir:
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-@contextmanager
-def jit_sized_codegen(spark: SparkSession) -> Iterator[None]:
-    """Within the block, cap generated methods at the JIT limit (if the session allows larger); restore after."""
-    key = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(key)
-    if int(before) > JIT_METHOD_LIMIT:
-        spark.conf.set(key, str(JIT_METHOD_LIMIT))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)

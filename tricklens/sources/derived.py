@@ -59,19 +59,18 @@ DECK = tuple(f"{2 + p % 13}_of_{SUITS[p // 13]}" for p in range(52))
 _DECK_SQL = "array(" + ", ".join(f"'{c}'" for c in DECK) + ")"
 
 
-def _card_sql(key: str, seat: int, slot: int) -> str:
+def _position_sql(key: str, seat: int, slot: int) -> str:
     k = 13 * seat + slot + 1
-    p = f"((((1 + {key} % 52) * {k}) % 53 - 1 + {key} div 52) % 52)"
-    return f"element_at({_DECK_SQL}, CAST({p} AS INT) + 1)"
+    return f"CAST((((1 + {key} % 52) * {k}) % 53 - 1 + {key} div 52) % 52 AS INT)"
 
 
 def hand_sql(key: str, seat: int) -> str:
     """The hand of one seat: 13 deck positions looked up in ``DECK``, joined as a JSON list text.
 
-    Unrolled over the 13 slots: with generated methods kept under the JIT
-    limit this beats a ``transform`` lambda (evaluated without codegen).
+    The lookup is a lambda, which keeps the projection out of fused code: Spark
+    then compiles it in methods that are small enough for the JIT.
     """
-    cards = f"array({', '.join(_card_sql(key, seat, s) for s in range(13))})"
+    cards = f"transform(array({', '.join(_position_sql(key, seat, s) for s in range(13))}), p -> {_DECK_SQL}[p])"
     if seat == 1:
         cards = f"slice({cards}, 1, CASE WHEN {quirk('ten_cards', key)} THEN 10 ELSE 13 END)"
     hand = f"concat('[\"', array_join({cards}, '\",\"'), '\"]')"
@@ -85,13 +84,13 @@ def hand_sql(key: str, seat: int) -> str:
 
 
 def player_sql(key: str, seat: int) -> str:
-    name = f"CASE ({key} + {seat}) % 4 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
-    if seat == 3:
-        name = f"CASE WHEN {quirk('second_seat', key)} THEN 'n' ELSE {name} END"
+    names = ", ".join(f"'{n}'" for n in (*NAMES, *map(str.upper, NAMES)))
+    upper = f"CASE WHEN {key} % 3 = 0 THEN {len(NAMES)} ELSE 0 END"
     null_first = f"WHEN {key} % 101 = 0 THEN NULL " if seat == 2 else ""
+    second = f"WHEN {quirk('second_seat', key)} THEN CASE WHEN {key} % 3 = 0 THEN 'N' ELSE 'n' END " if seat == 3 else ""
     return (
-        f"CASE {null_first}WHEN {key} % 17 = 0 AND {key} % 4 = {seat} THEN 'guest' "
-        f"WHEN {key} % 3 = 0 THEN upper({name}) ELSE {name} END"
+        f"CASE {null_first}WHEN {key} % 17 = 0 AND {key} % 4 = {seat} THEN 'guest' {second}"
+        f"ELSE element_at(array({names}), CAST(({key} + {seat}) % 4 + {upper} AS INT) + 1) END"
     )
 
 
