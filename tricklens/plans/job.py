@@ -18,18 +18,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tricklens.model import Roster, Rules
+from tricklens.plans.results import replace_rows
 from tricklens.plans.summary import summarize
 from tricklens.sources.rounds import read_rounds
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """Overwrite ``path`` with the summary as JSON lines in a single file.
+    """``path`` becomes a folder with the summary as JSON lines in a single file.
 
-    ``coalesce(1)`` is applied to the one-row result only, never to the
-    input. Null totals are left out of the JSON object, as Spark's JSON
-    writer does.
+    Overwrites in one step: readers of the folder see the row that was there
+    or the new one. Null totals are left out of the JSON object.
     """
-    summary.coalesce(1).write.mode("overwrite").json(path)
+    replace_rows(summary, path)
 
 
 def load_roster(spark: SparkSession, text_or_path: str) -> Roster:

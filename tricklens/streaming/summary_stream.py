@@ -4,7 +4,7 @@ The batch job re-reads every round on each run. When rounds land as new
 files in a folder, this runs the identical plan incrementally: the file
 source picks up only new files, the per-person partial sums are the
 streaming state (one row per person, whatever the input volume), and each
-micro-batch rewrites the one-row summary from that state. Rewriting a
+micro-batch replaces the one-row summary, in one step, from that state. Rewriting a
 complete result is idempotent, so a replayed batch after a failure writes the
 same row again.
 
@@ -25,6 +25,7 @@ from tricklens.model import ROUNDS_SCHEMA, Roster, Rules, summary_columns
 from tricklens.operators.aggregates import career_summary, person_partials
 from tricklens.operators.seats import first_seat_only
 from tricklens.plans.job import write_summary
+from tricklens.plans.results import get, put
 from tricklens.plans.summary import roster_seats
 from tricklens.sources.scratch import shared_dir
 
@@ -83,22 +84,24 @@ def definition_text(roster: Roster, rules: Rules, source: str) -> str:
 
 def bind_checkpoint(spark: SparkSession, checkpoint_location: str, definition: str) -> None:
     """Writes the definition beside a new checkpoint; refuses to resume one that was made under another."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(checkpoint_location.rstrip("/") + ".definition")
+    location = checkpoint_location.rstrip("/")
+    stored = get(spark, location + ".definition")
+    if stored is None and _holds_files(spark, location):
+        raise ValueError(f"the checkpoint {location} does not say under which roster, rules and source it was made; start a new one")
+    if stored is not None and stored != definition:
+        raise ValueError(
+            f"the checkpoint {location} holds sums under another roster, rules or source; "
+            "start a new checkpoint (and read all rounds again) for the changed ones"
+        )
+    if stored is None:
+        # In one step, so that a crash leaves no empty definition behind.
+        put(spark, location + ".definition", definition)
+
+
+def _holds_files(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        stored = spark.read.text(path.toString(), wholetext=True).first()["value"]
-        if stored != definition:
-            raise ValueError(
-                f"the checkpoint {checkpoint_location} holds sums under another roster, rules or source; "
-                "start a new checkpoint (and read all rounds again) for the changed ones"
-            )
-        return
-    out = fs.create(path, False)
-    try:
-        out.write(bytearray(definition.encode("utf-8")))
-    finally:
-        out.close()
+    return fs.exists(path) and len(fs.listStatus(path)) > 0
 
 
 def start_summary_query(
