@@ -14,6 +14,8 @@ serves all four seats of the long seat table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from tricklens.functions.tokens import (
     alternation,
     count_token,
@@ -23,7 +25,7 @@ from tricklens.functions.tokens import (
     groups_over,
     in_list,
 )
-from tricklens.model import ACE_RANK, FIGURE_RANKS, SEATS, SUITS, Rules
+from tricklens.model import ACE_RANK, FIGURE_RANKS, METRICS, SEATS, SUITS, Rules
 
 
 def trump_picker(bids: str) -> str:
@@ -95,6 +97,12 @@ def _seat_lookup(seat: str, values: dict[int, int]) -> str:
     return f"element_at(array({', '.join(str(values[s]) for s in SEATS)}), {seat})"
 
 
+def _base_counts() -> dict[str, str]:
+    """The base counts as columns of their own names."""
+    names = [f"n{r}" for r in FIGURE_RANKS] + [f"len_{s}" for s in SUITS]
+    return {k: k for k in names + ["figure_suits", "trumps", "trump_figures_other"]}
+
+
 def _enemy_picked(seat: str, picker: str) -> str:
     """The picker sits on the other team: seats 1..4 of the other parity."""
     return f"({picker} BETWEEN 1 AND 4 AND {picker} % 2 != {seat} % 2)"
@@ -109,9 +117,7 @@ def seat_metrics(
     c: dict[str, str] | None = None,
 ) -> dict[str, str]:
     """The twelve per-seat features over base counts ``c`` (default: columns named as the counts)."""
-    if c is None:
-        names = [f"n{r}" for r in FIGURE_RANKS] + [f"len_{s}" for s in SUITS]
-        c = {k: k for k in names + ["figure_suits", "trumps", "trump_figures_other"]}
+    c = _base_counts() if c is None else c
     c = {**c, **{f"fig_{s}": figures_of_suit(c["figure_suits"], s) for s in SUITS}}
     fig = figures(c)
     suit = pattern_suit(tarnib)
@@ -144,32 +150,49 @@ def seat_metrics(
         ),
     }
     if rules.strict:
-        metrics = _strict(metrics, c, picker, partner_figures, partner_picked, enemy_picked)
+        metrics = _strict(metrics, metric_checks(c, picker, partner_figures, partner_picked, enemy_picked))
     return metrics
 
 
-def _strict(
-    metrics: dict[str, str], c: dict[str, str], picker: str, partner_figures: str, partner_picked: str, enemy_picked: str
-) -> dict[str, str]:
-    """Fail with an error where the original job throws, instead of returning null."""
-    hand = f"{c['n11']} IS NULL"
-    bid = f"{picker} IS NULL"
+def metric_checks(
+    c: dict[str, str], picker: str, partner_figures: str, partner_picked: str, enemy_picked: str
+) -> dict[str, list[tuple[str, str]]]:
+    """Per metric, the conditions under which the original job throws, each with its reason; the first that holds counts."""
+    hand = (f"{c['n11']} IS NULL", "missing hand")
+    bid = (f"{picker} IS NULL", "unreadable bid")
     trumps = f"{c['trumps']} IS NULL"
-    checks = {
-        "team_figures_count": [(hand, "missing hand"), (f"{partner_figures} IS NULL", "missing partner hand")],
-        "has_partner_picked_tarnib_count": [(bid, "unreadable bid")],
-        "has_enemy_picked_tarnib_count": [(bid, "unreadable bid")],
-        "over_3_partner_tarnib_count": [(bid, "unreadable bid"), (f"{partner_picked} AND {trumps}", "missing hand or trump")],
-        "over_3_enemy_tarnib_count": [(bid, "unreadable bid"), (f"{enemy_picked} AND {trumps}", "missing hand or trump")],
+    other = {
+        "team_figures_count": [hand, (f"{partner_figures} IS NULL", "missing partner hand")],
+        "has_partner_picked_tarnib_count": [bid],
+        "has_enemy_picked_tarnib_count": [bid],
+        "over_3_partner_tarnib_count": [bid, (f"{partner_picked} AND {trumps}", "missing hand or trump")],
+        "over_3_enemy_tarnib_count": [bid, (f"{enemy_picked} AND {trumps}", "missing hand or trump")],
     }
+    return {metric: other.get(metric, [hand]) for metric in METRICS}
+
+
+def _strict(metrics: dict[str, str], checks: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
+    """Fail with an error where the original job throws, instead of returning null."""
     out = {}
     for name, expr in metrics.items():
-        conds = checks.get(name, [(hand, "missing hand")])
-        branches = " ".join(f"WHEN {cond} THEN raise_error('{msg} in a kept round')" for cond, msg in conds)
+        branches = " ".join(f"WHEN {cond} THEN raise_error('{msg} in a kept round')" for cond, msg in checks[name])
         out[name] = f"(CASE {branches} ELSE {expr} END)"
     return out
 
 
+def metric_errors(
+    seat: str, picker: str, partner_figures: str, rules: Rules = Rules(), c: dict[str, str] | None = None, metrics: Sequence[str] = METRICS
+) -> str:
+    """The metrics of a seat that cannot be read, as an array of (metric, reason); empty where all can."""
+    c = _base_counts() if c is None else c
+    picked = (f"({picker} = {_seat_lookup(seat, rules.pick_partner)})", _enemy_picked(seat, picker))
+    checks = metric_checks(c, picker, partner_figures, *picked)
+    each = [
+        "CASE " + " ".join(f"WHEN {cond} THEN named_struct('metric', '{m}', 'reason', '{why}')" for cond, why in checks[m]) + " END" for m in metrics
+    ]
+    return f"filter(array({', '.join(each)}), e -> e IS NOT NULL)"
+
+
 def hand_metrics(
     cards: str,
     tarnib: str,

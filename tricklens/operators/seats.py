@@ -23,7 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tricklens.functions.hand import figures, rank_counts, seat_metrics, suit_counts, trump_picker
+from tricklens.functions.hand import figures, metric_errors, rank_counts, seat_metrics, suit_counts, trump_picker
 from tricklens.model import FIGURE_RANKS, HAND_PARTNER, METRICS, SEATS, SUITS, Roster, Rules, cards_col, player_col
 from tricklens.operators.attribution import is_first_seat, person_of
 
@@ -62,6 +62,8 @@ def seat_table(
     roster: Roster | None,
     rules: Rules = Rules(),
     metrics: Sequence[str] = METRICS,
+    errors: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Long seat table: ``round_id, seat, player, person, is_first_seat`` and the requested metrics.
 
@@ -69,8 +71,13 @@ def seat_table(
     when no roster is given); without a roster, columns ``_person_1`` ..
     ``_person_4`` of ``rounds`` are used when present (``roster_join``).
     ``is_first_seat`` is true on the lowest seat a person holds in the round.
+    With ``errors``, a column of that name lists the metrics that the seat's
+    record does not tell, with the reason, as data. ``carry`` names further
+    columns of ``rounds`` to keep in every seat row.
     """
     need = set().union(*(METRIC_INPUTS[m] for m in metrics))
+    if errors:  # a missing hand shows in its rank counts, a missing trump in the trumps held
+        need |= {"ranks", "partner_figures", "trumps"}
     with_ranks = bool(need & {"ranks", "partner_figures"})
     suit_inputs = [c for key, cols in _SUIT_INPUTS.items() if key in need for c in cols]
 
@@ -78,7 +85,7 @@ def seat_table(
     persons = [f"_person_{s}" for s in SEATS]
     # persons resolved upstream (operators.roster_join) when no roster object is given
     resolved = roster is None and all(p in rounds.columns for p in persons)
-    per_round = [f"{round_id} AS round_id", "tarnib", f"{trump_picker('bids_data')} AS _picker"]
+    per_round = [f"{round_id} AS round_id", *carry, "tarnib", f"{trump_picker('bids_data')} AS _picker"]
     if resolved:
         per_round.append(f"array({', '.join(persons)}) AS _persons")
     elif roster:
@@ -109,25 +116,33 @@ def seat_table(
         if with_ranks:
             fields += [f"'ranks', _ranks_{seat}", f"'partner_ranks', _ranks_{partner}"]
         structs.append(f"named_struct({', '.join(fields)})")
-    seats = wide.selectExpr("round_id", "tarnib", "_picker", f"inline(array({', '.join(structs)}))")
+    seats = wide.selectExpr("round_id", *carry, "tarnib", "_picker", f"inline(array({', '.join(structs)}))")
 
-    carried = ["round_id", "seat", "player", "person", "is_first_seat", "tarnib", "_picker"]
+    carried = ["round_id", *carry, "seat", "player", "person", "is_first_seat", "tarnib", "_picker"]
     if with_ranks:
         carried += ["ranks", "partner_ranks"]
     counts = suit_counts("cards", "tarnib")
     counted = seats.selectExpr(*carried, *[f"{counts[name]} AS {name}" for name in suit_inputs])
     counted_as = {name: name for name in counts} | ranks_in("ranks")
     exprs = seat_metrics("seat", "_picker", "tarnib", figures(ranks_in("partner_ranks")), rules, counted_as)
+    told = [metric_errors("seat", "_picker", figures(ranks_in("partner_ranks")), rules, counted_as, metrics) + " AS errors"] if errors else []
     return counted.selectExpr(
         "round_id",
+        *carry,
         "seat",
         "player",
         "person",
         "is_first_seat",
         *[f"CAST({exprs[m]} AS BIGINT) AS {m}" for m in metrics],
+        *told,
     )
 
 
 def first_seat_only(seats: DataFrame) -> DataFrame:
     """Keep each person's lowest seat in a round (a person in two seats counts once)."""
     return seats.filter("is_first_seat")
+
+
+def round_errors(seats: DataFrame) -> DataFrame:
+    """(round_id, seat, person, metric, reason) of the metrics that counted seats could not tell (``seat_table(errors=True)``)."""
+    return first_seat_only(seats).selectExpr("round_id", "seat", "person", "inline(errors)")

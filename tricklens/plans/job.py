@@ -18,11 +18,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tricklens.model import Roster, Rules
-from tricklens.plans.results import replace_rows
+from tricklens.plans.audit import summarize_with_account
+from tricklens.plans.results import get, put, replace_rows
 from tricklens.plans.summary import summarize
 from tricklens.sources.rounds import read_rounds
 
 
+MANIFEST = "_manifest.json"
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """``path`` becomes a folder with the summary as JSON lines in a single file.
 
@@ -32,6 +36,11 @@ def write_summary(summary: DataFrame, path: str) -> None:
     replace_rows(summary, path)
 
 
+def read_manifest(spark: SparkSession, output_path: str) -> dict:
+    """What the job that wrote ``output_path`` read: ``files``, and the counts of bad lines if it kept them."""
+    return json.loads(get(spark, f"{output_path.rstrip('/')}/{MANIFEST}") or "{}")
+
+
 def load_roster(spark: SparkSession, text_or_path: str) -> Roster:
     """A roster from JSON text, or from a JSON file on any storage that Spark reads."""
     text = text_or_path
@@ -50,9 +59,24 @@ def run(
     preview: bool = False,
     column_order: Sequence[str] | None = None,
     infer_schema: bool = False,
+    bad_lines: str | None = None,
 ) -> DataFrame:
-    summary = summarize(read_rounds(spark, input_path, fmt, infer_schema), roster, rules, column_order)
+    """Read, summarize, write; returns the summary.
+
+    The input's files are fixed when they are listed at the start. Their names
+    are written beside the result (``MANIFEST``, which readers of the folder do
+    not see), so that count and sums can be had again from just these files
+    whatever has arrived since. ``bad_lines`` names a folder for the lines that
+    are no round records; the same scan writes them, and the manifest counts them.
+    """
+    rounds = read_rounds(spark, input_path, fmt, infer_schema, bad_lines is not None)
+    files, account = sorted(rounds.inputFiles()), {}
+    if bad_lines is not None:
+        summary, account = summarize_with_account(rounds, roster, bad_lines, rules, column_order)
+    else:
+        summary = summarize(rounds, roster, rules, column_order)
     write_summary(summary, output_path)
+    put(spark, f"{output_path.rstrip('/')}/{MANIFEST}", json.dumps({"files": files, **account}))
     if preview:
         # Reads the written row back instead of re-running the plan.
         written = spark.read.json(output_path)
@@ -68,7 +92,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--roster", required=True, help="JSON text or path of a JSON file")
     parser.add_argument("--format", default="json")
     parser.add_argument("--topology", default="original", choices=["original", "corrected"])
-    parser.add_argument("--infer-schema", action="store_true", help="read JSON with inferred types (one more scan)")
+    parser.add_argument("--infer-schema", action="store_true", help="take every JSON value in the type it has")
+    parser.add_argument("--bad-lines", help="folder for the lines that are no round records")
     parser.add_argument("--rules", default="{}", help="JSON object of other rules: thresholds, figure_weights")
     parser.add_argument("--column-order", help="all summary columns, comma-separated, in the order to write")
     parser.add_argument("--strict", action="store_true", help="fail on records the metrics cannot read")
@@ -85,6 +110,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         preview=args.preview,
         column_order=args.column_order.split(",") if args.column_order else None,
         infer_schema=args.infer_schema,
+        bad_lines=args.bad_lines,
     )
 
 

@@ -182,6 +182,46 @@ def _totals_select() -> str:
     return f"SELECT person, CAST(count(*) AS BIGINT) AS rounds_played, {sums} FROM seats WHERE is_first_seat GROUP BY person"
 
 
+def _errors_select() -> str:
+    """Per kept round, first seat and metric: why the metric has no value."""
+    picker = "(CASE WHEN length(bids_data) >= 2 THEN TRY_CAST(substr(bids_data, length(bids_data) - 1, 1) AS INTEGER) + 1 END)"
+    parts = []
+    for seat in range(1, 5):
+        person = _person(seat)
+        first = f"({person}) IS NOT NULL" + "".join(f" AND ({person}) IS DISTINCT FROM ({_person(s)})" for s in range(1, seat))
+        c, pc = f"player_{seat}_cards", f"player_{HAND_PARTNER[seat]}_cards"
+        picked = {"partner": f"{picker} = {PICKED_BY_PARTNER[seat]}", "enemy": f"{picker} IN ({', '.join(map(str, ENEMIES[seat]))})"}
+        for m in METRICS:
+            why = f"CASE WHEN {c} IS NULL THEN 'missing hand' END"
+            if m == "team_figures_count":
+                why = f"CASE WHEN {c} IS NULL THEN 'missing hand' WHEN {pc} IS NULL THEN 'missing partner hand' END"
+            if "picked" in m:
+                why = f"CASE WHEN {picker} IS NULL THEN 'unreadable bid' END"
+            if m.startswith("over_3"):
+                held = picked["partner" if "partner" in m else "enemy"]
+                why = f"CASE WHEN {picker} IS NULL THEN 'unreadable bid' WHEN {held} AND ({c} IS NULL OR tarnib IS NULL) THEN 'missing hand or trump' END"
+            parts.append(f"SELECT round_id, CAST({seat} AS INTEGER) AS seat, {person} AS person, {_q(m)} AS metric, {why} AS reason FROM kept WHERE {first}")
+    return "errors AS (" + "\nUNION ALL\n".join(parts) + ")\nSELECT * FROM errors WHERE reason IS NOT NULL"
+
+
+def _types_select() -> str:
+    """How often each field of the mixed lines is an integer, a fraction or text."""
+    number = "round_id % 3 <> 0 AND TRY_CAST({0} AS DOUBLE) IS NOT NULL"
+    parts = ["SELECT 'round_id' AS field, count(round_id) AS i, 0 AS f, 0 AS t FROM rounds"]
+    for c in ("team_1_score", "team_2_score"):
+        n = number.format(c)
+        parts.append(
+            f"SELECT '{c}', count(*) FILTER ({n} AND {c} NOT LIKE '%.%'), count(*) FILTER ({n} AND {c} LIKE '%.%'), count(*) FILTER (NOT ({n})) FROM rounds"
+        )
+    texts = [f"player_{s}" for s in range(1, 5)] + [f"player_{s}_cards" for s in range(1, 5)] + ["tarnib", "bids_data"]
+    parts += [f"SELECT '{c}', 0, 0, count({c}) FROM rounds" for c in texts]
+    return (
+        "SELECT field, CAST(i AS BIGINT) AS n_integer, CAST(f AS BIGINT) AS n_fraction, CAST(t AS BIGINT) AS n_text, CAST(0 AS BIGINT) AS n_other, "
+        "CASE WHEN i + f > 0 AND t > 0 THEN 'mixed' WHEN f > 0 THEN 'number' WHEN i > 0 THEN 'integer' ELSE 'text' END AS inferred FROM ("
+        + " UNION ALL ".join(parts) + ")"
+    )
+
+
 def oracle_queries() -> dict[str, str]:
     base = _with(rounds_cte())
     kept = _with(rounds_cte(), _kept())
@@ -210,6 +250,16 @@ def oracle_queries() -> dict[str, str]:
     q["summary_roundtrip"] = summary
     q["summary_stream"] = summary
     q["summary_job"] = summary
+    q["summary_cli"] = summary
+    q["totals_by_folder"] = q["person_totals"]
+    q["bad_lines"] = """
+WITH lines AS (SELECT ['{"team_1_score": 7, "team_2_sc', 'not json at all', '', '["a list"]', '{"round_id": "abc", "team_1_score": 7}'][o_orderkey % 5 + 1] AS l
+  FROM orders WHERE o_orderkey % 20 = 0 OR o_orderkey % 7 = 0),
+kinds AS (SELECT CASE WHEN json_valid(l) AND json_type(l) = 'OBJECT' THEN 'wrong_type' WHEN json_valid(l) THEN 'not_an_object'
+  WHEN starts_with(l, '{') AND NOT ends_with(l, '}') THEN 'truncated' ELSE 'malformed' END AS kind FROM lines WHERE l <> '')
+SELECT kind, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) AS BIGINT) AS n_written FROM kinds GROUP BY kind"""
+    q["round_errors"] = seats.rstrip("\n").replace("seats AS (", "ignored AS (") + ",\n" + _errors_select()
+    q["inferred_types"] = base + _types_select()
     q["x_picker"] = (
         "SELECT event_id, (CASE WHEN length(props) >= 2 THEN "
         "TRY_CAST(substr(props, length(props) - 1, 1) AS INTEGER) + 1 END) AS picker FROM events"

@@ -8,6 +8,9 @@ over the whole input.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -16,17 +19,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tricklens.functions.hand import trump_picker
-from tricklens.functions.tokens import count_tokens, first_match, token_groups_over, weighted_tokens
+from tricklens.functions.tokens import first_match, token_groups_over, weighted_tokens
 from tricklens.model import COMPASS_ROSTER, METRICS, Rules, summary_columns
 from tricklens.operators.aggregates import career_summary, person_partials, person_totals, sum_all_with_count, wide_totals
 from tricklens.operators.attribution import attribution
 from tricklens.operators.filters import all_in, complete_rounds, sum_equals
-from tricklens.operators.seats import first_seat_only, seat_table
+from tricklens.operators.seats import first_seat_only, round_errors, seat_table
+from tricklens.operators.tally import token_totals
+from tricklens.plans.audit import KINDS as BAD_KINDS
+from tricklens.plans.increments import updated_totals
+from tricklens.plans.job import main as job_main
+from tricklens.plans.job import read_manifest
 from tricklens.plans.job import run as run_job
 from tricklens.plans.job import write_summary
+from tricklens.plans.results import put
 from tricklens.plans.summary import kept_rounds, roster_seats, totals_by_person_table
 from tricklens.sources.derived import derive_rounds
-from tricklens.sources.rounds import read_rounds, write_rounds
+from tricklens.sources.rounds import inferred_types, read_rounds, write_rounds
 from tricklens.sources.scratch import fresh_path
 from tricklens.sources.tables import table
 from tricklens.streaming.summary_stream import ANY_AGE, start_summary_query
@@ -163,6 +172,73 @@ def q_summary_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(out)
 
 
+# --- the job's other ways in and out ----------------------------------------
+
+def _summary_schema() -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType(), True) for c in summary_columns(ROSTER)])
+
+
+WRONG_LINES = (*MALFORMED, '{"round_id": "abc", "team_1_score": 7}')
+
+
+def q_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no round records, by kind: as counted by the job that summarizes, and as found in its side folder."""
+    source, out, side = (fresh_path(spark, f"account-{x}") for x in ("rounds", "summary", "bad-lines"))
+    lines = rounds(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    bad = F.element_at(F.array(*[F.lit(x) for x in WRONG_LINES]), (F.col("o_orderkey") % len(WRONG_LINES) + 1).cast("int"))
+    wrong = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0 OR o_orderkey % 7 = 0").select(bad.alias("value"))
+    lines.unionByName(wrong).write.text(source)
+    run_job(spark, source, out, ROSTER, rules=RULES, bad_lines=side)
+    account = read_manifest(spark, out)
+    counted = spark.createDataFrame([(k, account[k]) for k in BAD_KINDS if account[k]], "kind string, n_lines long")
+    written = spark.read.schema("kind string, line string").json(side).groupBy(F.col("kind").alias("k")).agg(F.count("*").alias("n_written"))
+    return counted.join(written, F.col("kind") == F.col("k"), "full").select(F.coalesce("kind", "k").alias("kind"), "n_lines", "n_written")
+
+
+def q_round_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metrics could not read, as data: one row per kept round, seat and metric, with the reason."""
+    return round_errors(seat_table(kept_rounds(rounds(spark, sf_dir), ROSTER, RULES), ROSTER, RULES, errors=True))
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round records as JSON text whose scores are numbers or text, by turns."""
+    made = rounds(spark, sf_dir)
+    plain = lambda c: f"CASE WHEN round_id % 3 = 0 OR try_cast({c} AS DOUBLE) IS NULL THEN concat('\"', {c}, '\"') ELSE {c} END"
+    others = [c for c in made.columns if c not in ("team_1_score", "team_2_score")]
+    rest = f"substring(to_json(struct({', '.join(others)})), 2)"
+    return made.selectExpr(f"concat('{{\"team_1_score\":', {plain('team_1_score')}, ',\"team_2_score\":', {plain('team_2_score')}, ',', {rest}) AS value")
+
+
+def q_inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inferred_types(mixed_lines(spark, sf_dir))
+
+
+def q_summary_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job as its command line runs it: roster from a file, inferred types, preview printed (and caught here)."""
+    source, out, roster = (fresh_path(spark, f"cli-{x}") for x in ("rounds", "summary", "roster"))
+    mixed_lines(spark, sf_dir).write.text(source)
+    put(spark, f"{roster}/roster.json", json.dumps({person: list(aliases) for person, aliases in ROSTER.people}))
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        job_main(["--input", source, "--output", out, "--roster", f"{roster}/roster.json", "--infer-schema", "--preview"])
+    if "total_rounds_played: long" not in shown.getvalue():
+        raise RuntimeError("the preview did not show the result's schema")
+    return spark.read.schema(_summary_schema()).json(out)
+
+
+def q_totals_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-person totals from stored sums per input folder, after a second run that found one folder more."""
+    source, store = fresh_path(spark, "folders"), fresh_path(spark, "folder-sums")
+    made = rounds(spark, sf_dir)
+    for day in range(3):
+        write_rounds(made.where(F.col("round_id") % 3 == day), f"{source}/day={day}", "json")
+        if day:
+            totals, read = updated_totals(spark, source, store, ROSTER, RULES)
+    if read != ["day=2"]:
+        raise RuntimeError(f"the second run read {read}")
+    return totals
+
+
 # --- general forms on other tables ----------------------------------------
 
 def q_x_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +247,7 @@ def q_x_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_x_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = [f"{count_tokens('text', [w])} AS n_{w}" for w in WORDS]
-    return docs.selectExpr("lang", *counts).groupBy("lang").agg(*[F.expr(f"sum(n_{w}) AS n_{w}") for w in WORDS])
+    return token_totals(docs, ["lang"], "text", WORDS)
 
 
 def q_x_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +304,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "summary_roundtrip": q_summary_roundtrip,
             "summary_stream": q_summary_stream,
             "summary_job": q_summary_job,
+            "summary_cli": q_summary_cli,
+            "bad_lines": q_bad_lines,
+            "round_errors": q_round_errors,
+            "inferred_types": q_inferred_types,
+            "totals_by_folder": q_totals_by_folder,
             "x_picker": q_x_picker,
             "x_token_count": q_x_token_count,
             "x_weighted_score": q_x_weighted_score,

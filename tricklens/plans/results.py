@@ -27,7 +27,7 @@ POINTER = "_current"
 RENAMING = ("hdfs", "viewfs", "abfs", "abfss")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """(JVM, Hadoop path, its file system)."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -36,7 +36,7 @@ def _hadoop(spark: SparkSession, path: str):
 
 def _local(spark: SparkSession, path: str) -> str | None:
     """The path on this machine if the file system is the local one."""
-    _, where, fs = _hadoop(spark, path)
+    _, where, fs = hadoop(spark, path)
     return unquote(urlparse(fs.makeQualified(where).toUri().toString()).path) if fs.getScheme() == "file" else None
 
 
@@ -53,7 +53,7 @@ def put(spark: SparkSession, path: str, content: str) -> None:
             os.fsync(out.fileno())
         os.replace(staged, local)
         return
-    jvm, where, fs = _hadoop(spark, path)
+    jvm, where, fs = hadoop(spark, path)
     renames = fs.getScheme() in RENAMING
     target = jvm.org.apache.hadoop.fs.Path(staged) if renames else where
     out = fs.create(target, True)
@@ -69,7 +69,7 @@ def put(spark: SparkSession, path: str, content: str) -> None:
 
 def get(spark: SparkSession, path: str) -> str | None:
     """The content of a small file, or None if there is none."""
-    jvm, where, fs = _hadoop(spark, path)
+    jvm, where, fs = hadoop(spark, path)
     if not fs.exists(where):
         return None
     stream = fs.open(where)
@@ -81,7 +81,7 @@ def get(spark: SparkSession, path: str) -> str | None:
 
 def _drop_others(spark: SparkSession, folder: str, kept: str) -> None:
     """What an earlier writer of another layout left beside the one file."""
-    jvm, where, fs = _hadoop(spark, folder)
+    jvm, where, fs = hadoop(spark, folder)
     for status in fs.listStatus(where):
         name = status.getPath().getName()
         if name not in (kept, f".{kept}.crc") and (name.startswith("part-") or name.endswith(".crc") or name == "_SUCCESS"):
@@ -108,17 +108,21 @@ def publish(df: DataFrame, folder: str, keep: int = 2) -> str:
     version = f"version-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{version}")
     put(spark, f"{folder}/{POINTER}", "\n".join([version, *before[: keep - 1]]))
-    jvm, where, fs = _hadoop(spark, folder)
+    jvm, where, fs = hadoop(spark, folder)
     for old in before[keep - 1 :]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(where, old), True)
     return f"{folder}/{version}"
 
 
+def published_path(spark: SparkSession, folder: str) -> str | None:
+    """Where the current version of a published table lies; None if there is none yet."""
+    versions = (get(spark, f"{folder.rstrip('/')}/{POINTER}") or "").split()
+    return f"{folder.rstrip('/')}/{versions[0]}" if versions else None
+
+
 def read_published(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame | None:
     """The current version of a published table; None if there is none yet."""
-    folder = folder.rstrip("/")
-    versions = (get(spark, f"{folder}/{POINTER}") or "").split()
-    if not versions:
+    path = published_path(spark, folder)
+    if path is None:
         return None
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{folder}/{versions[0]}")
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
