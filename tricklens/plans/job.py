@@ -24,7 +24,7 @@ from tricklens.plans.summary import summarize
 from tricklens.sources.rounds import read_rounds
 
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
