@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricklens.llm.common import stored
+from tricklens.llm.common import private_names, stored
 from tricklens.llm.components import components
 
 SHINGLE = 5
@@ -347,10 +347,29 @@ def near_documents(
 def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents of ``docs`` that are the first of their group, with their own columns.
 
-    Of rows that repeat an id and its text, one stays. Only ids travel; the
-    texts meet the list of kept ids once.
+    Of rows that repeat an id and its text, one stays; rows that share an id
+    but not the text are documents of their own. Only ids travel; the texts
+    meet the list of kept ids once, and only rows of repeated ids are compared by text.
     """
-    kept = stored(near_documents(docs, text).where("kept").select(F.col("doc_id").alias("kept_id")), "kept-documents")
-    repeated = kept.groupBy("kept_id").count().where("count > 1")
-    once = docs.dropDuplicates(["doc_id", text]) if not repeated.isEmpty() else docs
-    return once.join(kept.distinct().hint("shuffle_hash"), once["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = docs.groupBy(F.col("doc_id").alias("twice")).count().where("count > 1").select("twice")
+    repeated = stored(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        kept = stored(near_documents(docs, text).where("kept").select(F.col("doc_id").alias("kept_id")), "kept-documents")
+        return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    same = docs["doc_id"].eqNullSafe(F.col("twice"))
+    node, real = private_names(docs, "near_node", "near_id")
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    several = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", text])
+    # Written, so that the numbers stay what they are; beyond all ids, so that they clash with none.
+    several = stored(several.withColumn(node, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id() + F.lit(top) + 1)), "repeated-documents")
+    single = docs.join(repeated, same, "left_anti").withColumn(node, F.col("doc_id").cast("long"))
+    names = lambda df: df.select(F.col(node).alias("doc_id"), F.col("doc_id").cast("long").alias(real), F.col(text).alias("text"))
+    every = names(single).unionByName(names(several))
+    found = near_documents(every.select("doc_id", "text")).select(F.col("doc_id").alias(node), "component_id")
+    ids = several.select(F.col(node).alias("several_node"), F.col("doc_id").cast("long").alias("several_id"))
+    by_id = found.join(ids, F.col(node) == F.col("several_node"), "left").withColumn(real, F.coalesce("several_id", node))
+    # The first of a group is the one of the smallest true id.
+    best = by_id.where(F.col(node).isNotNull()).groupBy("component_id").agg(F.min(F.struct(real, node)).alias("first"))
+    kept = stored(best.select(F.col("first")[node].alias("kept_node")).unionByName(best.sparkSession.createDataFrame([(None,)], "kept_node long")), "kept-documents")
+    chosen = lambda df: df.join(kept.hint("shuffle_hash"), F.col(node).eqNullSafe(F.col("kept_node")), "left_semi").select(*docs.columns)
+    return chosen(single).unionByName(chosen(several))
