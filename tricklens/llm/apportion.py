@@ -97,7 +97,8 @@ def quotas(votes: DataFrame, within: list[str], seats: Column) -> DataFrame:
 
 def mixed(docs: DataFrame, text: str = "text", block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, store=None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, and the block arithmetic) of every row of ``docs``."""
-    sizes = docs.select("doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"))
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    sizes = docs.select("doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"), digest.alias("digest"))
     sizes = store(sizes) if store else sizes
     goal = targets(sizes)
     goal = store(goal) if store else goal
@@ -122,7 +123,7 @@ def mixed(docs: DataFrame, text: str = "text", block: int = BLOCK, shard_docs: i
     blocks = F.ceil(F.col("shard_size") / F.lit(block)).cast("long")
     # A block may be taken ``CAP`` times at most, so no document exceeds CAP times its size.
     quota = quota.select("s_source", "s_shard", blocks.alias("blocks"), F.least(F.coalesce("quota", F.lit(0)), CAP * blocks).alias("quota"))
-    place = W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    place = W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size", "digest").rowsBetween(W.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum("size").over(place)).withColumn("begin", F.col("end") - F.col("size"))
     placed = placed.join(quota, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard"))).drop("s_source", "s_shard")
     n = F.col("blocks")
@@ -131,7 +132,7 @@ def mixed(docs: DataFrame, text: str = "text", block: int = BLOCK, shard_docs: i
     placed = placed.withColumn("turn", F.when(n > 0, seeded(seed + "-turn", F.col("source"), F.col("shard")) % n).otherwise(0))
     once_more = extra_words(F.col("end"), block) - extra_words(F.col("begin"), block)
     placed = placed.withColumn("taken", F.when(n > 0, F.col("times") * F.col("size") + once_more).otherwise(0).cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "times", "begin", "end", "blocks", "extra", "turn")
+    return placed.select("doc_id", "source", "digest", "size", "source_size", "target", "taken", "times", "begin", "end", "blocks", "extra", "turn")
 
 
 def chosen_before(k: Column, field=F.col) -> Column:
@@ -150,14 +151,16 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: str = SEE
     """The mix itself: every document as often as its blocks are taken, whole, and the parts in blocks taken once more.
 
     Columns are those of ``docs``. The texts stay in place: the decisions, a
-    few longs a document, are joined to them by id. Rows that repeat an id
-    must repeat its text and source (drop copies first); they share one decision.
+    few longs a document, are joined to them by id, source and a digest of the
+    text, so rows that share an id alone keep decisions of their own. Rows that
+    repeat all three share one, the first in order (drop copies first).
     """
     taken = mixed(docs, text, block=block, seed=seed, store=store)
-    taken = taken.select("doc_id", "size", "times", "begin", "end", "blocks", "extra", "turn").dropDuplicates(["doc_id"])
-    plan, key, parts, copy = private_names(docs, "mix_plan", "mix_id", "mix_parts", "mix_copy")
-    taken = taken.select(F.col("doc_id").alias(key), F.struct(*[c for c in taken.columns if c != "doc_id"]).alias(plan))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
+    plan, key, of, sign, parts, copy = private_names(docs, "mix_plan", "mix_id", "mix_source", "mix_digest", "mix_parts", "mix_copy")
+    decision = F.struct("begin", "end", "size", "times", "blocks", "extra", "turn")
+    taken = taken.groupBy(F.col("doc_id").alias(key), F.col("source").alias(of), F.col("digest").alias(sign)).agg(F.min(decision).alias(plan))
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & docs["source"].eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col(sign))
+    rows = docs.join(taken, same).drop(key, of, sign)
     rows = rows.withColumn(parts, F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS[1:-1]}]+{SPACE_CLASS}*"), F.lit(0)))
     field = lambda name: F.col(plan)[name]
     begin, end = field("begin"), field("end")
