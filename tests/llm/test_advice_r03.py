@@ -8,13 +8,15 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from tricklens.llm import disclosure, host_paths, queries  # noqa: E402
+from tricklens.llm import apportion, blob_ledger, coordinate_join, disclosure, host_paths, queries  # noqa: E402
 from tricklens.llm.common import stored  # noqa: E402
+from tricklens.sources.scratch import fresh_path  # noqa: E402
 
 
 def keep(df):
@@ -127,3 +129,50 @@ def test_only_odd_pages_of_a_hot_host_are_joined(spark, monkeypatch):
     n_first = sum(sorted(sizes.values())[-host_paths.RANKED :])
     assert seen[0] < len(pages) - n_first  # distinct pages, one of each later template at least
     assert set(out.values()) == {"S\n\n" + " ".join(["word"] * 30), "S\n\n" + " ".join(["word"] * 9)}
+
+
+# --- rows that share an id but not the text ------------------------------------
+
+
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(50))
+    rows = [(3, a, "x"), (5, a + " more", "x"), (5, b, "y"), (5, b, "y"), (9, b + " end", "z"), (11, "alone here", "z"), (None, "no id", "z"), (None, "no id either", "z"), (None, "no id", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_node string")
+    out = sorted(((r.doc_id, r.text, r.near_node) for r in coordinate_join.first_of_each(df).collect()), key=str)
+    assert out == sorted([(3, a, "x"), (5, b, "y"), (11, "alone here", "z"), (None, "no id", "z"), (None, "no id either", "z")], key=str)
+    # A group whose first true id is among the repeated ones.
+    rows = [(1, b, "x"), (1, a, "x"), (2, a + " more", "x"), (4, "else", "x")]
+    out = coordinate_join.first_of_each(spark.createDataFrame(rows, df.schema)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, a), (1, b), (4, "else")])
+
+
+def test_no_text_moves_for_repeated_ids_elsewhere(spark, monkeypatch):
+    """Only rows of repeated ids are compared by text."""
+    sizes = []
+    real = coordinate_join.stored
+    monkeypatch.setattr(coordinate_join, "stored", lambda df, name: (out := real(df, name), sizes.append((name, out.count())))[0])
+    df = spark.createDataFrame([(i, f"text number {i} of many words here") for i in range(300)] + [(7, "another text")], "doc_id long, text string")
+    assert coordinate_join.first_of_each(df).count() == 301
+    assert ("repeated-documents", 2) in sizes
+
+
+def test_mix_keeps_rows_of_one_id_apart(spark):
+    texts = [" ".join(f"{chr(97 + k)}{i}" for i in range(200 + 37 * k)) for k in range(6)]
+    df = spark.createDataFrame([(1, t, s) for t in texts[:3] for s in ("s1", "s2")] + [(2, texts[3], "s1"), (3, texts[4], None), (3, texts[5], None)], "doc_id long, text string, source string")
+    plan = apportion.mixed(df, store=keep)
+    taken = sum(r.taken for r in plan.collect())
+    out = apportion.mix(df, store=keep).collect()
+    assert sum(len(r.text.split()) for r in out) == taken
+    for r in out:  # every part is made of one text's words, in order
+        source = next(t for t in texts if r.text.split()[0] in t.split())
+        assert set(r.text.split()) <= set(source.split())
+    again = sorted(((r.doc_id, r.source, r.text) for r in apportion.mix(df.repartition(7), store=keep).collect()), key=str)
+    assert again == sorted(((r.doc_id, r.source, r.text) for r in out), key=str)
+
+
+def test_findings_of_a_blob_in_many_places(spark):
+    text = "password = hunter2hunter2"
+    df = spark.createDataFrame([(i, text) for i in range(500)] + [(1000, "clean"), (None, text)], "doc_id long, text string")
+    out = blob_ledger.scan_versions(df, F.col("doc_id"), F.col("text"), fresh_path(spark, "ledger")).collect()
+    assert len(out) == 502 and sum(len(r.found) for r in out) == 501

@@ -91,7 +91,7 @@ def splittable(tokenizer_json: str) -> bool:
     return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
-def token_encoder(tokenizer_json: str, special_as_text: bool = True):
+def token_encoder(tokenizer_json: str, special_as_text: bool = False):
     """The worker's encoder of this tokenizer, with what it remembers from earlier tasks."""
     state, key = worker_state(), ("encoder", tokenizer_json, special_as_text)
     if key not in state:
@@ -99,7 +99,7 @@ def token_encoder(tokenizer_json: str, special_as_text: bool = True):
     return state[key]
 
 
-def new_encoder(tokenizer_json: str, special_as_text: bool = True):
+def new_encoder(tokenizer_json: str, special_as_text: bool = False):
     """list of texts -> list of ids, exactly as the tokenizers library encodes each whole text with ``add_special_tokens=False``.
 
     ``special_as_text`` is the library's ``encode_special_tokens``, which it leaves off: with it, the string of
@@ -154,7 +154,7 @@ def new_encoder(tokenizer_json: str, special_as_text: bool = True):
     return encode, dtype
 
 
-def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", folder: str | None = None, special_as_text: bool = True) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", folder: str | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes shards and their indexes; returns the stored manifest (shard, path, n_docs, n_tokens)."""
     folder = folder or fresh_path(docs.sparkSession, "token-records")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
