@@ -5,7 +5,10 @@ from __future__ import annotations
 import pytest
 
 from tricklens.model import COMPASS_ROSTER
-from tricklens.operators.roster_join import roster_mapping
+from tricklens.operators.aggregates import person_totals
+from tricklens.operators.filters import complete_rounds
+from tricklens.operators.roster_join import SALTS, bucketed_roster, bucketed_roster_rounds, roster_mapping
+from tricklens.operators.seats import first_seat_only, seat_table
 from tricklens.plans.queries import roster_table, rounds
 from tricklens.plans.summary import summarize, summarize_table, totals_by_person, totals_by_person_table
 
@@ -50,3 +53,23 @@ def test_mapping_drops_repeats_and_rejects_shared_aliases(spark):
     clash = spark.createDataFrame([("north", "someone else")], "alias string, person string")
     with pytest.raises(ValueError):
         roster_mapping(roster_table(spark).union(clash))
+
+
+def test_one_bucketed_join_serves_all_seats(spark, tmp_path):
+    """The same rows as four joins; the roster is not shuffled, and a hot player's rounds meet it in several tasks."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        r = complete_rounds(rounds(spark, SF))
+        roster = bucketed_roster(roster_table(spark), "bucketed_test", str(tmp_path / "roster"), 8)
+        kept = bucketed_roster_rounds(r, roster)
+        got = person_totals(first_seat_only(seat_table(kept, None)))
+        assert _rows(got) == _rows(totals_by_person_table(rounds(spark, SF), roster_table(spark)))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 1 and plan.count("Exchange") == 2 and plan.count("Scan parquet spark_catalog") == 1
+        assert roster.where("alias = 'north'").count() == SALTS
+        assert bucketed_roster_rounds(r.limit(0), roster).count() == 0
+    finally:
+        spark.conf.set(key, before)
+        spark.sql("DROP TABLE IF EXISTS bucketed_test")

@@ -240,6 +240,7 @@ def oracle_queries() -> dict[str, str]:
     q["attribution"] = seats + "SELECT round_id, person, seat, " + ", ".join(METRICS) + " FROM seats WHERE is_first_seat"
     q["person_totals"] = seats + _totals_select()
     q["person_totals_roster_join"] = q["person_totals"]
+    q["person_totals_bucketed"] = q["person_totals"]
     # Round count: every kept round, counted once.
     cells = [f"(SELECT CAST(count(*) AS BIGINT) FROM kept) AS {TOTAL_ROUNDS}"]
     for m in METRICS:

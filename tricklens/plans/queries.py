@@ -24,6 +24,7 @@ from tricklens.model import COMPASS_ROSTER, METRICS, Rules, summary_columns
 from tricklens.operators.aggregates import career_summary, person_partials, person_totals, sum_all_with_count, wide_totals
 from tricklens.operators.attribution import attribution
 from tricklens.operators.filters import all_in, complete_rounds, sum_equals
+from tricklens.operators.roster_join import bucketed_roster, bucketed_roster_rounds
 from tricklens.operators.seats import first_seat_only, round_errors, seat_table
 from tricklens.operators.tally import token_totals
 from tricklens.plans.audit import KINDS as BAD_KINDS
@@ -112,6 +113,14 @@ def q_person_totals_roster_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals_by_person_table(rounds(spark, sf_dir), roster_table(spark), RULES)
 
 
+def q_person_totals_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``person_totals`` with one join to a roster bucketed on its aliases, for all four seats at once."""
+    path = fresh_path(spark, "bucketed-roster")
+    roster = bucketed_roster(roster_table(spark), f"roster_{path.rsplit('-', 1)[-1]}", path, 8)
+    kept = bucketed_roster_rounds(complete_rounds(rounds(spark, sf_dir), RULES), roster)
+    return person_totals(first_seat_only(seat_table(kept, None, RULES)))
+
+
 def q_career_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career_summary(person_partials(first_seat_only(q_seat_features(spark, sf_dir))), ROSTER)
 
@@ -300,6 +309,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "attribution": q_attribution,
             "person_totals": q_person_totals,
             "person_totals_roster_join": q_person_totals_roster_join,
+            "person_totals_bucketed": q_person_totals_bucketed,
             "career_summary": q_career_summary,
             "summary_roundtrip": q_summary_roundtrip,
             "summary_stream": q_summary_stream,
