@@ -527,5 +527,5 @@ def test_registered_queries(spark):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [hashlib.sha256(b"").hexdigest()] == sorted({r.base_sha256 for r in queries.op6_disclosure(spark, SF).where("n_email + n_ip + n_card + n_phone = 0").collect()})
