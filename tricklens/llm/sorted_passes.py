@@ -1,22 +1,28 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass every vector gets a key of concatenated random-hyperplane bits.
-Vectors are ordered by (pass, label, key) and each is compared, exactly and in
-double precision, with its neighbours in a bounded window. Verified pairs of a
-window are united where they are found; the links of all passes are united
-into components. Every link lies within a component, so each component's
-vectors are then compared with each other, in blocks, and only counts leave a
-block: windows decide what connects, no cap decides how many links count.
+Keys are ordered by (pass, label, key), and each vector is compared with its
+neighbours in a bounded window. What travels in the sort is the key, the id and
+a sketch: components rounded to 16 bits, a quarter of the vector. A sketch's
+error is bounded, so it settles all pairs but those within the bound of the
+threshold; these few fetch their vectors once and are compared exactly, in
+double precision. Pairs of a window are united where they are found; the links
+of all passes are united into components. Every link lies within a component,
+so each component's vectors are then compared with each other, in blocks and in
+double precision, and only counts leave a block: windows decide what connects,
+no cap decides how many links count.
 
 The number of passes follows from the data. The first passes suit vectors that
 spread evenly. Beside its links, every vector then tells per pass how many key
-bits part it from the vector at its window's end, and with which chance a
+bits part it from the vectors at its window's two ends, and with which chance a
 vector at the threshold, in a random direction, shares these bits under that
 pass's own planes. Labels go on until every vector's chance to be missed is
-under ``MISS``, and until two batches in a row unite nothing new. Where a
-window ends within the vector's own component, the pass tells nothing of it and
-counts as the vector's others do; if all its windows do, the second condition
-alone decides. It stays a chance, not a proof: linked vectors may lie otherwise.
+under ``MISS``, and until two batches in a row unite nothing new. Where a window
+ends within the vector's own component, or at a partition's edge, the pass tells
+nothing of it and counts as the vector's others do; if all its windows do, the
+second condition alone decides. Partitions hold at least ``EDGE`` windows where
+there are as many rows, so an edge cuts few of them. It stays a chance, not a
+proof: linked vectors may lie otherwise.
 
 Equal vectors are one class, compared once and counted as often as they occur.
 
@@ -35,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +50,15 @@ from tricklens.llm.components import components
 
 THRESHOLD = 0.98
 WINDOW = 64  # neighbours compared on the following side
-KEY_BITS = 64
+KEY_BITS = 64  # a key is one long
+STEPS = 32_767  # a sketch's steps from 0 to 1
+EDGE = 64  # windows a partition of sorted rows holds at least
+SORTED_ROWS = 1 << 18  # rows it holds at most, about
 MISS = 1e-7
 SEED = 20
 BLOCK = 1024  # vectors on a side of a counting block
-CHUNK = 8192  # sorted rows compared at once
 QUIET = 2  # batches in a row that must unite nothing new
-NORMAL_AT = np.linspace(0, 6, 60_001)
-NORMAL_LOG = np.log([0.5 * math.erfc(-z / math.sqrt(2)) for z in NORMAL_AT])
+NORMAL_LOG = np.log([0.5 * math.erfc(-z / 10_000 / math.sqrt(2)) for z in range(60_001)])
 
 
 def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,115 +89,176 @@ def passes_for(largest: int, threshold: float, window: int, miss: float) -> int:
     return max(4, math.ceil(math.log(miss) / math.log(1 - 0.9 * agree)))
 
 
-def planes_of(seed: int, dim: int, p: int, bits: int = KEY_BITS) -> np.ndarray:
-    return np.random.default_rng([seed, dim, p]).standard_normal((dim, bits))
+def planes_of(seed: int, dim: int, p: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, p]).standard_normal((dim, KEY_BITS))
 
 
-def keyed(first: int, passes: int, bits: int, seed: int):
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Equally long binary values as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def keyed(first: int, passes: int, seed: int):
+    """A row per vector and pass: its place in the order, and its sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            size = np.array([len(u) // 8 for u in units])
+            size = pc.divide(pc.binary_length(batch.column("unit")), 8).to_numpy(zero_copy_only=False)
             for dim in np.unique(size):
-                own = np.flatnonzero(size == dim)
-                X = np.frombuffer(b"".join(units[i] for i in own), np.float64).reshape(-1, dim)
-                part = batch.take(pa.array(own))
+                part = batch.take(pa.array(np.flatnonzero(size == dim)))
+                X = matrix(part.column("unit"), np.float64)
+                sketch = pa.array([row.tobytes() for row in np.rint(X * STEPS).astype(np.int16)], pa.binary())
                 for p in range(first, first + passes):
-                    key = np.packbits(X @ planes_of(seed, int(dim), p, bits) > 0, axis=1)
+                    key = np.packbits(X @ planes_of(seed, int(dim), p) > 0, axis=1).view(">i8").ravel().astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p] * len(own), pa.int32()), part.column("label"), pa.array([int(dim)] * len(own), pa.int32()),
-                         pa.array([k.tobytes() for k in key], pa.binary()), part.column("node"), part.column("unit")],
-                        ["pass", "label", "dim", "key", "node", "unit"],
+                        [pa.array(np.full(len(X), p, np.int32)), part.column("label"), pa.array(np.full(len(X), dim, np.int32)),
+                         pa.array(key), part.column("node"), sketch],
+                        ["pass", "label", "dim", "key", "node", "sketch"],
                     )
 
     return run
 
 
+def sketch_error(dim: int) -> float:
+    """How far the product of two sketches, in single precision, may be from that of their vectors at most."""
+    rounding = 0.5 / STEPS * math.sqrt(dim)  # of one unit vector
+    return 2 * rounding + rounding**2 + (dim + 2) * 2.0**-22
+
+
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits that two keys share."""
+    x = (a ^ b).view(np.uint64)
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1])
+
+
 def found_chance(unit: np.ndarray, planes: np.ndarray, threshold: float, bits: np.ndarray) -> np.ndarray:
     """Chance that a vector at the threshold from each row, in a random direction, shares its first ``bits`` key bits."""
     dim = unit.shape[1]
-    margin = np.abs(unit @ planes) / np.sqrt((planes**2).sum(axis=0))
+    margin = np.minimum(np.abs(unit @ planes) / np.sqrt((planes**2).sum(axis=0)), 1.0)
     spread = np.sqrt(np.maximum((1 - margin**2) * (1 - threshold**2) / max(1, dim - 1), 1e-300))
-    z = np.minimum(threshold * margin / spread, 6.0)
     # The normal distribution function, by a table: 1e-4 is far finer than needed.
-    agree = np.interp(z, NORMAL_AT, NORMAL_LOG)
-    along = np.concatenate([np.zeros((len(unit), 1)), np.cumsum(agree, axis=1)], axis=1)
-    return np.exp(along[np.arange(len(unit)), np.minimum(bits, planes.shape[1])])
+    agree = NORMAL_LOG[(np.minimum(threshold * margin / spread, 6.0) * 10_000).astype(np.int64)]
+    return np.exp(np.where(np.arange(planes.shape[1]) < bits[:, None], agree, 0.0).sum(axis=1))
+
+
+def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` rows that each row reaches over the pairs (i, j)."""
+    up = np.arange(n)
+    while (apart := up[i] != up[j]).any():
+        a, b = up[i[apart]], up[j[apart]]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
 
 
 def neighbours(threshold: float, window: int, seed: int):
-    """Rows (a, b, miss): links that unite all verified pairs of sorted rows, at most one a row (miss null); and for each
-    vector the logarithm of its chance to be missed by this pass (b null), where its window ends at a vector not united with it."""
-
-    def links(group: np.ndarray, node: np.ndarray, X: np.ndarray) -> tuple[list, list]:
-        up = np.arange(len(node))
-
-        def root(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for o in range(1, min(window, len(node) - 1) + 1):
-            near = (group[:-o] == group[o:]) & (np.einsum("ij,ij->i", X[:-o], X[o:]) >= threshold)
-            i = np.flatnonzero(near)
-            for j in i[up[i] != up[i + o]]:
-                a, b = root(j), root(j + o)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-            while (up[up] != up).any():
-                up = up[up]
-        moved = np.flatnonzero(up != np.arange(len(up)))
-        return node[moved].tolist(), node[up[moved]].tolist(), up
-
-    def misses(passes: np.ndarray, group: np.ndarray, X: np.ndarray, up: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Rows whose window is known here, and the logarithm of their chance to be missed."""
+    """Rows (a, b, sure, miss): links that unite all sure pairs of sorted rows, at most one a row; pairs that only their vectors
+    can tell, where no sure ones unite them (sure false); and for each vector the logarithm of its chance to be missed by this
+    pass (b null), where its windows end at vectors not united with it."""
+
+    def close(group: np.ndarray, X: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a group within the window at or near the threshold, and their product: each block of rows meets itself and the next."""
+        n, dim = X.shape
+        blocks = -(-n // window)
+        padded = np.zeros(((blocks + 1) * window, dim), np.float32)
+        padded[:n] = X
+        padded = padded.reshape(blocks + 1, window, dim)
+        both = np.concatenate([padded[:-1], padded[1:]], axis=1)
+        product = padded[:-1] @ both.transpose(0, 2, 1)
+        block, row, other = np.nonzero(product >= threshold - sketch_error(dim))
+        i, j = block * window + row, block * window + other
+        keep = (j > i) & (j <= i + window) & (j < n)
+        keep[keep] = group[i[keep]] == group[j[keep]]
+        return i[keep], j[keep], product[block[keep], row[keep], other[keep]]
+
+    def misses(passes, group, key, X, up, rows, open_start: bool, open_end: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``rows`` whose windows tell something, and the logarithm of their chance to be missed."""
         n = len(group)
-        rows = np.arange(n if last else max(0, n - window))
-        end = np.minimum(rows + window, n - 1)
-        same = (group[rows] == group[end]) & (rows + window < n)  # else the window holds all that follows in the group
-        told = np.flatnonzero(~same | (up[rows] != up[end]))
-        bits, chance = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        bits, told = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+        for step, edge, cut in ((window, n - 1, open_end), (-window, 0, open_start)):
+            end = np.clip(rows + step, 0, n - 1)
+            beyond = end != rows + step
+            same = group[rows] == group[end]
+            # Where the rows end before the window does, all of the group is in it, if the group ends here too.
+            told &= ~(same & (up[rows] == up[end]) & ~beyond) & ~(beyond & cut & (group[rows] == group[edge]))
+            bits = np.maximum(bits, np.where(same & ~beyond, np.minimum(shared_bits(key[rows], key[end]) + 1, KEY_BITS), 0))
+        rows, bits = rows[told], bits[told]
+        chance = np.zeros(len(rows))
         for p in np.unique(passes[rows]):
-            planes = planes_of(seed, X.shape[1], int(p))
-            own = rows[passes[rows] == p]
-            here = X[own] @ planes > 0
-            differs = here != (X[end[own]] @ planes > 0)
-            bits[own] = np.where(same[own], np.where(differs.any(axis=1), differs.argmax(axis=1) + 1, planes.shape[1]), 0)
-            chance[own] = found_chance(X[own], planes, threshold, bits[own])
+            own = passes[rows] == p
+            chance[own] = found_chance(X[rows[own]], planes_of(seed, X.shape[1], int(p)).astype(np.float32), threshold, bits[own])
         # One neighbour in ten may sit behind a partition's edge.
-        return told, np.log1p(-0.9 * chance[told])
+        return rows, np.log1p(-0.9 * chance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        names: dict[tuple, int] = {}
-
-        def done(rows: list[tuple], last: bool) -> pa.RecordBatch:
-            a, b, miss = [], [], []
-            lo = 0
-            while lo < len(rows):  # one vector length at a time
-                hi = lo
-                while hi < len(rows) and len(rows[hi][2]) == len(rows[lo][2]):
-                    hi += 1
-                X = np.frombuffer(b"".join(r[2] for r in rows[lo:hi]), np.float64).reshape(hi - lo, -1)
-                group, node = np.array([r[0] for r in rows[lo:hi]]), np.array([r[1] for r in rows[lo:hi]], np.int64)
-                x, y, up = links(group, node, X)
-                told, chance = misses(np.array([r[3] for r in rows[lo:hi]]), group, X, up, last or hi < len(rows))
-                a += x + node[told].tolist()
-                b += y + [None] * len(told)
-                miss += [None] * len(x) + chance.tolist()
-                lo = hi
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "miss": pa.array(miss, pa.float64())})
+        held = None  # the last rows, neighbours of the next ones
+        told_to = 0  # rows of ``held`` that have told their chance
+        open_start = True  # the rows' first group may begin in the partition before
+        last_group, n_groups = None, 0
+
+        def done(open_end: bool, last: bool) -> pa.RecordBatch:
+            nonlocal held, told_to, open_start
+            passes, group, key, node, sketch = held
+            X = sketch.astype(np.float32) / STEPS
+            i, j, product = close(group, X)
+            sure = product >= threshold + sketch_error(X.shape[1])
+            up = united(len(node), i[sure], j[sure])
+            moved = np.flatnonzero(up != np.arange(len(up)))
+            unsure = ~sure & (up[i] != up[j])
+            to = len(node) if last else max(told_to, len(node) - window)
+            rows, miss = misses(passes, group, key, X, up, np.arange(told_to, to), open_start, open_end)
+            start = max(0, to - window)
+            if start:
+                open_start = False
+            told_to, held = to - start, None if last else tuple(c[start:] for c in held)
+            nothing = lambda m: pa.nulls(m, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([node[moved], node[i[unsure]], node[rows]])),
+                    pa.concat_arrays([pa.array(node[up[moved]]), pa.array(node[j[unsure]]), nothing(len(rows))]),
+                    pa.array(np.concatenate([np.ones(len(moved), bool), np.zeros(unsure.sum() + len(rows), bool)])),
+                    pa.concat_arrays([pa.nulls(len(moved) + int(unsure.sum()), pa.float64()), pa.array(miss)]),
+                ],
+                ["a", "b", "sure", "miss"],
+            )
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(c) for c in ("pass", "dim", "label")]
+            change = np.zeros(len(batch), bool)
+            for c in columns:
+                change[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            change[0] = last_group is not None and last_group != tuple(c[0].as_py() for c in columns)
+            last_group = tuple(c[-1].as_py() for c in columns)
+            group = n_groups + np.cumsum(change)
+            n_groups = int(group[-1])
+            passes, dim, key, node = (batch.column(c).to_numpy() for c in ("pass", "dim", "key", "node"))
+            bounds = [0, *(np.flatnonzero(dim[1:] != dim[:-1]) + 1), len(batch)]
+            for lo, hi in zip(bounds, bounds[1:]):  # one vector length at a time
+                sketch = matrix(batch.column("sketch")[lo:hi], np.int16)
+                if held is not None and held[4].shape[1] != sketch.shape[1]:
+                    yield done(open_end=False, last=True)
+                    told_to, open_start = 0, False
+                more = (passes[lo:hi], group[lo:hi], key[lo:hi], node[lo:hi], sketch)
+                held = more if held is None else tuple(np.concatenate(c) for c in zip(held, more))
+                yield done(open_end=True, last=False)
+        if held is not None:
+            yield done(open_end=True, last=True)
+
+    return run
+
 
+def at_threshold(threshold: float):
+    """Pairs (a, b) whose vectors link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = zip(*(batch.column(c).to_pylist() for c in ("pass", "label", "dim")))
-            for g, node, unit in zip(groups, batch.column("node").to_pylist(), batch.column("unit").to_pylist()):
-                held.append((names.setdefault(g, len(names)), node, unit, g[0]))
-            if len(held) >= CHUNK:
-                yield done(held, False)
-                held = held[-window:]  # the next rows' neighbours
-        if held:
-            yield done(held, True)
+            pairs = zip(batch.column("a_unit").to_pylist(), batch.column("b_unit").to_pylist())
+            near = [float(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)) >= threshold for x, y in pairs]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -221,14 +290,22 @@ def counted(threshold: float):
 def connected(classes: DataFrame, passes: int, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
     """(node, component) of all classes with a link: batches of passes until no label needs more."""
     open_rows, first, found, edges, chances, quiet = classes, 0, None, None, None, None
+    n_open = classes.count()
+    widest = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unit_of = lambda c: classes.select(F.col("node").alias(c), F.col("unit").alias(f"{c}_unit"))
     while True:
+        n_rows = n_open * passes
+        n_parts = max(math.ceil(n_rows / SORTED_ROWS), min(widest, math.ceil(n_rows / (EDGE * window))), 1)
         sorted_rows = (
-            open_rows.mapInArrow(keyed(first, passes, KEY_BITS, seed), "pass int, label string, dim int, key binary, node long, unit binary")
-            .repartitionByRange("pass", "dim", "label", "key")
+            open_rows.select("label", "node", "unit")
+            .mapInArrow(keyed(first, passes, seed), "pass int, label string, dim int, key long, node long, sketch binary")
+            .repartitionByRange(n_parts, "pass", "dim", "label", "key")
             .sortWithinPartitions("pass", "dim", "label", "key", "node")
         )
-        told = stored(sorted_rows.mapInArrow(neighbours(threshold, window, seed), "a long, b long, miss double"), "passes")
-        links = told.where(F.col("b").isNotNull()).select("a", "b")
+        told = stored(sorted_rows.mapInArrow(neighbours(threshold, window, seed), "a long, b long, sure boolean, miss double"), "passes")
+        links = told.where(F.col("sure")).select("a", "b")
+        unsure = told.where(~F.col("sure") & F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(unsure.join(unit_of("a"), "a").join(unit_of("b"), "b").mapInArrow(at_threshold(threshold), "a long, b long"))
         new = told.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("miss").alias("miss"), F.count("*").alias("told"))
         if found is None:
             fresh = links
@@ -243,7 +320,8 @@ def connected(classes: DataFrame, passes: int, threshold: float, window: int, mi
         chances = stored(both, "miss-chances")
         first += passes
         united = fresh.select(F.col("a").alias("node")).distinct().join(classes.select("node", "label"), "node").select("label").distinct()
-        worst = classes.select("node", "label").join(chances, "node", "left").groupBy("label").agg(F.max(F.col("miss") / F.col("told") * first).alias("worst"))
+        worst = classes.select("node", "label").join(chances, "node", "left").groupBy("label")
+        worst = worst.agg(F.max(F.col("miss") / F.col("told") * first).alias("worst"), F.count("*").alias("n"))
         state = worst.join(united.withColumn("new", F.lit(True)), "label", "left")
         if quiet is not None:
             state = quiet.select("label", F.col("still").alias("before")).join(state, "label")
@@ -252,13 +330,14 @@ def connected(classes: DataFrame, passes: int, threshold: float, window: int, mi
         # The first batch unites something in any case that matters, so it counts as quiet only if it united nothing.
         state = state.withColumn("still", F.when(F.col("new"), 0).otherwise(F.col("before") + 1))
         todo = (F.col("worst") > math.log(miss)) | (F.col("still") < QUIET)
-        quiet = stored(state.where(todo).select("label", "still", "worst"), "open-labels")
-        need = quiet.agg(F.count("*").alias("n"), F.max("worst").alias("worst")).first()
+        quiet = stored(state.where(todo).select("label", "still", "worst", "n"), "open-labels")
+        need = quiet.agg(F.count("*").alias("n"), F.max("worst").alias("worst"), F.sum("n").alias("rows")).first()
         if not need.n:
             return found
         # As many more as the worst vector lacks at its rate so far, but at most as many as there were, then measured anew.
         lacks = first * math.log(miss) / need.worst - first if need.worst is not None and need.worst < 0 else first
         passes = max(4, min(first, math.ceil(lacks)))
+        n_open = need.rows
         open_rows = classes.join(quiet.select("label"), "label", "left_semi").select(*classes.columns)
 
 
