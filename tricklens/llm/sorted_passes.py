@@ -17,12 +17,13 @@ spread evenly. Beside its links, every vector then tells per pass how many key
 bits part it from the vectors at its window's two ends, and with which chance a
 vector at the threshold, in a random direction, shares these bits under that
 pass's own planes. Labels go on until every vector's chance to be missed is
-under ``MISS``, and until two batches in a row unite nothing new. Where a window
-ends within the vector's own component, or at a partition's edge, the pass tells
-nothing of it and counts as the vector's others do; if all its windows do, the
-second condition alone decides. Partitions hold at least ``EDGE`` windows where
-there are as many rows, so an edge cuts few of them. It stays a chance, not a
-proof: linked vectors may lie otherwise.
+under ``MISS``, and until two batches in a row unite nothing new. A side of a
+window that ends within the vector's own component, or at a partition's edge,
+tells nothing and counts as the other side does; if both do, the pass counts as
+the vector's others; if all passes do, the second condition alone decides.
+Partitions hold at least ``EDGE`` windows where there are as many rows, so an
+edge cuts few of them. It stays a chance, not a proof: linked vectors may lie
+otherwise.
 
 Equal vectors are one class, compared once and counted as often as they occur.
 
@@ -132,14 +133,23 @@ def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1])
 
 
-def found_chance(unit: np.ndarray, planes: np.ndarray, threshold: float, bits: np.ndarray) -> np.ndarray:
-    """Chance that a vector at the threshold from each row, in a random direction, shares its first ``bits`` key bits."""
-    dim = unit.shape[1]
+def found_chance(unit: np.ndarray, planes: np.ndarray, threshold: float, key: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Chance that a vector at the threshold from each row, in a random direction, lies in the row's window.
+
+    It does if it shares at least ``ahead`` key bits with the row and follows it,
+    or at least ``behind`` and precedes it; the first bit that differs says which.
+    """
+    dim, n_bits = planes.shape
     margin = np.minimum(np.abs(unit @ planes) / np.sqrt((planes**2).sum(axis=0)), 1.0)
     spread = np.sqrt(np.maximum((1 - margin**2) * (1 - threshold**2) / max(1, dim - 1), 1e-300))
     # The normal distribution function, by a table: 1e-4 is far finer than needed.
     agree = NORMAL_LOG[(np.minimum(threshold * margin / spread, 6.0) * 10_000).astype(np.int64)]
-    return np.exp(np.where(np.arange(planes.shape[1]) < bits[:, None], agree, 0.0).sum(axis=1))
+    shares = np.exp(np.concatenate([np.zeros((len(unit), 1)), np.cumsum(agree, axis=1)], axis=1))
+    parts_at = shares[:, :-1] - shares[:, 1:]
+    follows = np.unpackbits(key.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1) == 0
+    follows[:, 0] = ~follows[:, 0]  # keys are sorted as signed numbers
+    seen = np.arange(n_bits) >= np.where(follows, ahead[:, None], behind[:, None])
+    return np.where(seen, parts_at, 0.0).sum(axis=1) + shares[:, -1]
 
 
 def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -176,21 +186,26 @@ def neighbours(threshold: float, window: int, seed: int):
     def misses(passes, group, key, X, up, rows, open_start: bool, open_end: bool) -> tuple[np.ndarray, np.ndarray]:
         """Those of ``rows`` whose windows tell something, and the logarithm of their chance to be missed."""
         n = len(group)
-        bits, told = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+        told, bits = [], []
         for step, edge, cut in ((window, n - 1, open_end), (-window, 0, open_start)):
             end = np.clip(rows + step, 0, n - 1)
             beyond = end != rows + step
             same = group[rows] == group[end]
             # Where the rows end before the window does, all of the group is in it, if the group ends here too.
-            told &= ~(same & (up[rows] == up[end]) & ~beyond) & ~(beyond & cut & (group[rows] == group[edge]))
-            bits = np.maximum(bits, np.where(same & ~beyond, np.minimum(shared_bits(key[rows], key[end]) + 1, KEY_BITS), 0))
-        rows, bits = rows[told], bits[told]
+            told.append(np.where(beyond, (not cut) | (group[rows] != group[edge]), ~same | (up[rows] != up[end])))
+            bits.append(np.where(same & ~beyond, shared_bits(key[rows], key[end]) + 1, 0))
+        # A side that tells nothing counts as the other one does.
+        ahead, behind = np.where(told[0], bits[0], bits[1]), np.where(told[1], bits[1], bits[0])
+        some = told[0] | told[1]
+        rows, ahead, behind = rows[some], ahead[some], behind[some]
         chance = np.zeros(len(rows))
         for p in np.unique(passes[rows]):
             own = passes[rows] == p
-            chance[own] = found_chance(X[rows[own]], planes_of(seed, X.shape[1], int(p)).astype(np.float32), threshold, bits[own])
-        # One neighbour in ten may sit behind a partition's edge.
-        return rows, np.log1p(-0.9 * chance)
+            planes = planes_of(seed, X.shape[1], int(p)).astype(np.float32)
+            chance[own] = found_chance(X[rows[own]], planes, threshold, key[rows[own]], ahead[own], behind[own])
+        # Passes that tell nothing as an edge cuts the window count as the others do, so what they may lose is taken off all.
+        chance = np.minimum(chance * (1 - 2 / EDGE), 1 - 1e-12)
+        return rows, np.log1p(-chance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last rows, neighbours of the next ones
