@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +39,7 @@ from tricklens.sources.scratch import fresh_path
 
 MASK_DELTA = 0xA282EAD8
 RUN = 200  # new chunks encoded as one text
+GO = 1 << 23  # bytes of text encoded in one go: the more, the fewer chunks to look up
 MEMO = 1_500_000  # chunks a worker remembers: bounds its memory, not its results
 # Unicode's white space, as the tokenizer's pattern \s has it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -91,6 +93,59 @@ def splittable(tokenizer_json: str) -> bool:
     return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
+TWO_BACK = np.uint8(32)
+
+
+def cut_tables() -> tuple[bytes, bytes]:
+    """Of each byte, one bit per kind of break: as the last byte before it, as the first byte after it.
+
+    1: white space after what is no white space; 2: a printable ASCII mark after an ASCII letter or digit; 4 and 8: an
+    ASCII digit after a letter, and the reverse; 16: an ASCII letter or digit after a mark, but for the apostrophe,
+    which begins the pattern's contractions. TWO_BACK: as 1, with the first byte of a character of two bytes that is
+    no white space standing two bytes back.
+    """
+    before, after = bytearray(256), bytearray(256)
+    ends = {chr(i).encode()[-1] for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i))}  # may end white space
+    for i in range(256):
+        c = chr(i) if i < 128 else ""
+        letter, digit, mark = c.isalpha(), c.isdigit(), "!" <= c <= "~" and not c.isalnum()
+        before[i] = (i not in ends) | (letter or digit) << 1 | letter << 2 | digit << 3 | (mark and c != "'") << 4
+        before[i] |= int(TWO_BACK) * (0xC3 <= i <= 0xDF)
+        after[i] = (c != "" and c in "\t\n\v\f\r ") | mark << 1 | digit << 2 | letter << 3 | (letter or digit) << 4
+        after[i] |= int(TWO_BACK) * (after[i] & 1)
+    return bytes(before), bytes(after)
+
+
+BEFORE, AFTER = cut_tables()
+
+
+def chunked(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts, end to end, and the place of each text's first chunk (and one past the last).
+
+    The pattern surely breaks at every cut; a break that is not sure, as beside letters beyond ASCII, is left out,
+    which makes a longer chunk and no other result.
+    """
+    data = b"".join(texts)
+    bounds = np.cumsum([0, *map(len, texts)])
+    cut = np.zeros(len(data) + 1, bool)
+    before, after = (np.frombuffer(data.translate(kinds), np.uint8) for kinds in (BEFORE, AFTER))
+    cut[1:-1] = (before[:-1] & after[1:] & ~TWO_BACK) != 0
+    cut[2:-1] |= (before[:-2] & after[2:] & TWO_BACK) != 0
+    cut[bounds] = True
+    offsets = np.flatnonzero(cut)
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return chunks, np.searchsorted(offsets, bounds)
+
+
+def laid_out(values: pa.Array) -> tuple[np.ndarray, bytes]:
+    """The offsets and the bytes of a large_binary array that was made whole."""
+    if not len(values):
+        return np.zeros(1, np.int64), b""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64, len(values) + 1)
+    return at, data.to_pybytes()[: at[-1]] if data else b""
+
+
 def token_encoder(tokenizer_json: str, special_as_text: bool = False):
     """The worker's encoder of this tokenizer, with what it remembers from earlier tasks."""
     state, key = worker_state(), ("encoder", tokenizer_json, special_as_text)
@@ -117,43 +172,64 @@ def new_encoder(tokenizer_json: str, special_as_text: bool = False):
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
     if not splittable(tokenizer_json) or any(re.search(f"[{WHITE}]", a) for a in added):
         return lambda texts: [np.array(e.ids, dtype) for e in tokenizer.encode_batch(texts, add_special_tokens=False)], dtype
-    # The pattern always breaks between a character and white space after it, so such chunks are encoded once and
-    # remembered. A byte-level token has one character per byte, which tells a run's chunks apart again.
-    find, memo = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall, {}
+    # What lies between two sure breaks of the pattern is encoded once and remembered. A byte-level token has one
+    # character per byte, which tells a run's chunks apart again.
+    memo: dict[bytes, bytes] = {}
     # The library first cuts a text at the strings of added tokens: texts that hold one are encoded whole.
     holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
     white = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i)))
     n_bytes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
     encode_all = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # fast: without offsets
 
-    def remember(new: list[str]) -> None:
+    def encoded_alone(new: list[bytes]) -> list[bytes]:
         # In a run, every chunk begins with white space and ends without; the few others are encoded apart.
-        runs = [c for c in new if c[0] in white and c[-1] not in white]
-        others = [c for c in new if c[0] not in white or c[-1] in white]
-        for c, e in zip(others, encode_all(others, add_special_tokens=False)):
-            memo[c] = np.array(e.ids, dtype).tobytes()
+        out: list = [b""] * len(new)
+        said = [c.decode() for c in new]
+        others = [i for i, t in enumerate(said) if t[0] not in white or t[-1] in white]
+        for i, e in zip(others, encode_all([said[i] for i in others], add_special_tokens=False)):
+            out[i] = np.array(e.ids, dtype).tobytes()
+        apart = set(others)
+        runs = [i for i in range(len(new)) if i not in apart]
         parts = [runs[lo : lo + RUN] for lo in range(0, len(runs), RUN)]
-        for part, e in zip(parts, encode_all(["".join(p) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, encode_all(["".join([said[i] for i in p]) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype)
-            ends = np.cumsum([len(c.encode()) for c in part])
+            ends = np.cumsum([len(new[i]) for i in part])
             cuts = ((np.searchsorted(np.cumsum(n_bytes[ids]), ends) + 1) * ids.itemsize).tolist()
             data = ids.tobytes()
-            memo.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+            for i, lo, hi in zip(part, [0, *cuts], cuts):
+                out[i] = data[lo:hi]
+        return out
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         whole = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype) for i, t in enumerate(texts) if holds_added(t)}
-        lists = [() if i in whole else find(t) for i, t in enumerate(texts)]
-        new = [c for c in set().union(*lists) if c not in memo]
-        remember(new)
-        out = [whole[i] if i in whole else np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype) for i, chunks in enumerate(lists)]
-        if len(memo) > MEMO:  # full: what came first, the frequent chunks, stays
-            for c in new:
-                del memo[c]
-        return out
+        chunks, first = chunked([b"" if i in whole else t.encode() for i, t in enumerate(texts)])
+        coded = chunks.dictionary_encode()
+        at, data = laid_out(coded.dictionary)
+        distinct = [data[lo:hi] for lo, hi in zip(at.tolist(), at[1:].tolist())]
+        known = list(map(memo.get, distinct))
+        missing = [i for i, k in enumerate(known) if k is None]
+        new = [distinct[i] for i in missing]
+        for i, k in zip(missing, encoded := encoded_alone(new)):
+            known[i] = k
+        if len(memo) + len(new) <= MEMO:  # full: what came first, the frequent chunks, stays
+            memo.update(zip(new, encoded))
+        # Arrow lays the ids of all chunks end to end.
+        at, data = laid_out(pa.array(known, pa.large_binary()).take(coded.indices))
+        ids, ends = np.frombuffer(data, dtype), (at[first] // np.dtype(dtype).itemsize).tolist()
+        return [whole[i] if i in whole else ids[lo:hi] for i, (lo, hi) in enumerate(zip(ends, ends[1:]))]
 
     return encode, dtype
 
 
+def gos(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows to encode in one go, of up to GO bytes (or a single row), from the running sums of the rows' bytes."""
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + GO, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", folder: str | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes shards and their indexes; returns the stored manifest (shard, path, n_docs, n_tokens)."""
     folder = folder or fresh_path(docs.sparkSession, "token-records")
@@ -171,8 +247,8 @@ def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, text: str =
         for batch in batches:
             if out is None and batch.num_rows:
                 out = fs.open_output_stream(f"{base}/{name}.records")
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            for part in (batch.slice(lo, hi - lo) for lo, hi in gos(sizes)):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     data = frame(pack(doc_id, np.concatenate([ids, end])))
                     out.write(data)
