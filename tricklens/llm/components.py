@@ -20,9 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     left = stored(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges"
     )
-    nodes = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "nodes")
+    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not left.isEmpty():
-        hooks = stored(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "hooks")
+        hooks = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))  # written with the first jump
         while True:
             further = hooks.select(F.col("node").alias("f_node"), F.col("to").alias("f_to"))
             jumped = hooks.join(further, F.col("to") == F.col("f_node"), "left")
@@ -40,3 +40,22 @@ def components(edges: DataFrame) -> DataFrame:
         ends = rooted(rooted(left, "a"), "b").where(F.col("a") != F.col("b"))
         left = stored(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return nodes
+
+
+def grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Like ``components`` of all links so far: ``found`` of the earlier ones, joined by the new ``links`` (a, b).
+
+    Only the new links are walked, between the components that the earlier ones made.
+    """
+    if found is None:
+        return components(links)
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        root = found.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_root"))
+        ends = ends.join(root, F.col(c) == F.col(f"{c}_node"), "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_node", f"{c}_root")
+    over = components(ends)
+    if over.isEmpty():
+        return found
+    to = over.select(F.col("node").alias("t_node"), F.col("component").alias("t_component"))
+    old = found.join(to, F.col("component") == F.col("t_node"), "left").select("node", F.coalesce("t_component", "component").alias("component"))
+    return stored(old.unionByName(over.join(found.select("node"), "node", "left_anti")), "nodes")

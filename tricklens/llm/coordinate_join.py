@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tricklens.llm.common import private_names, stored
-from tricklens.llm.components import components
+from tricklens.llm.components import grown
 
 SHINGLE = 5
 SIMILARITY_PCT = 75
@@ -258,14 +258,11 @@ def united(matches: int, coordinates: int, pct: int):
     return run
 
 
-def placed(postings: DataFrame, edges: list[DataFrame]) -> DataFrame:
-    """``postings`` with each document's component so far."""
-    if not edges:
+def placed(postings: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``postings`` with each document's component so far (``found``: node, component)."""
+    if found is None:
         return postings.withColumn("comp", F.col("node"))
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    found = components(every).withColumnsRenamed({"node": "c_node"})
+    found = found.withColumnsRenamed({"node": "c_node"})
     return postings.join(found, F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node")).drop("c_node", "component")
 
 
@@ -302,9 +299,9 @@ def near_documents(
     sets = wanted.select("text").mapInArrow(full_sets, "class binary, shingles binary").dropDuplicates(["class"])
     sets = stored(sets.join(asked, "class").select("node", "sig", "mask", "shingles"), "shingle-sets")
 
-    edges: list[DataFrame] = []
+    found: DataFrame | None = None
     for r in range(rounds):
-        now = stored(placed(posts, edges), "postings")
+        now = stored(placed(posts, found), "postings")
         chance = F.xxhash64(F.lit(r), F.col("node"))
         heads = now.groupBy("pair").agg(F.min(F.struct(chance.alias("x"), F.col("node").alias("node"), F.col("comp").alias("comp"))).alias("head"))
         heads = heads.select(F.col("pair").alias("h_pair"), F.col("head.node").alias("head"), F.col("head.comp").alias("head_comp"))
@@ -313,10 +310,10 @@ def near_documents(
         side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "sig", "shingles")])
         both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
         both = both.select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b")
-        edges.append(stored(both.mapInArrow(confirmed(matches, pct), "a long, b long"), "links"))
+        found = grown(found, stored(both.mapInArrow(confirmed(matches, pct), "a long, b long"), "links"))
 
     # Lists that still hold several components: the documents outside the main one meet all, in blocks.
-    now = stored(placed(posts, edges), "postings")
+    now = stored(placed(posts, found), "postings")
     parts = now.groupBy("pair", "comp").agg(F.count("*").alias("size"))
     several = parts.groupBy("pair").agg(
         F.count("*").alias("comps"), F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top")
@@ -335,9 +332,9 @@ def near_documents(
     fields = "pair long, i int, j int, outside int, node long, comp long, main long, sig binary, mask long"
     hits = stored(with_sig.groupBy("pair", "i", "j").applyInArrow(flagged(matches, coordinates), fields), "block-rows")
     with_sets = hits.join(sets.select(F.col("node").alias("x_node"), "shingles"), F.col("node") == F.col("x_node")).drop("x_node")
-    edges.append(stored(with_sets.groupBy("pair", "i", "j").applyInArrow(united(matches, coordinates, pct), "a long, b long"), "links"))
+    found = grown(found, stored(with_sets.groupBy("pair", "i", "j").applyInArrow(united(matches, coordinates, pct), "a long, b long"), "links"))
 
-    ends = placed(classes.select("class", "node"), edges).select(F.col("class").alias("e_class"), "comp")
+    ends = placed(classes.select("class", "node"), found).select(F.col("class").alias("e_class"), "comp")
     out = rows.join(stored(ends, "document-components"), F.col("class") == F.col("e_class"), "left")
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
